@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import minhash
+from recordloom.llm import minhash, nbsvm, streamdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,24 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamdedup.duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of")
+
+
+OP5_SQL = """
+SELECT doc_id, duplicate_of FROM (
+  SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS duplicate_of FROM documents
+) WHERE text IS NOT NULL AND doc_id <> duplicate_of
+"""
+
+
+def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_nbsvm_quality, op5_streaming_exact_dedup, op6_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_streaming_exact_dedup": OP5_SQL}
