@@ -200,7 +200,7 @@ def near_duplicates(
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
     blocks = F.ceil(F.col("n") / F.lit(block_docs)).cast("int")
     placed = sized.select(F.col("node").alias("id"), F.col("component").alias("part"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    texts = own.join(placed, "id").select("id", "part", "blocks", "block", "text")
+    texts = own.hint("merge").join(placed, "id").select("id", "part", "blocks", "block", "text")
     placed_sets = (
         texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .where("blocks = 1 or block <> other")
