@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import minhash, nbsvm, streamdedup
+from recordloom.llm import minhash, nbsvm, packing, streamdedup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,16 @@ def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenised(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_nbsvm_quality, op5_streaming_exact_dedup, op6_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_orc_token_ids, op3_nbsvm_quality, op5_streaming_exact_dedup, op6_minhash_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,7 +28,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 _IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.empty(0, dtype=np.uint64)
 _inverse = np.empty(0, dtype=np.uint64)
 
@@ -200,15 +200,3 @@ def distinct(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     key = key[np.concatenate([[True], key[1:] != key[:-1]])]
     at = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(44))
     return key & low, at
-
-
-def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of white space followed by other characters, for cached tokenising; they cover all bytes."""
-    space = _IS_SPACE[data]
-    begin = np.empty(len(data), dtype=bool)
-    if len(data):
-        begin[0] = True
-        begin[1:] = space[1:] & ~space[:-1]
-        begin[offsets[:-1][offsets[:-1] < len(data)]] = True
-    starts = np.flatnonzero(begin)
-    return starts, np.concatenate([starts[1:], [len(data)]]) if len(starts) else starts
