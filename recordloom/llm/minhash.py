@@ -210,3 +210,9 @@ def near_duplicates(
     similar = placed_sets.groupBy("part", "a", "b").applyInArrow(_verify(threshold), "u long, v long")
     final = connected_components(similar)
     return final.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
+    """docs with one document of each group of near_duplicates(); all columns as they are, null ids stay."""
+    gone = near_duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("__gone"))
+    return docs.hint("merge").join(gone, docs[id_col] == gone["__gone"], "left_anti")

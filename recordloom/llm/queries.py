@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import minhash, nbsvm, packing, streamdedup, tokens
+from recordloom.llm import decontam, minhash, nbsvm, packing, streamdedup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamdedup.duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of")
 
@@ -41,7 +45,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_orc_token_ids, op3_nbsvm_quality, op5_streaming_exact_dedup, op6_minhash_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_orc_token_ids, op3_nbsvm_quality, op4_lsa_decontamination, op5_streaming_exact_dedup, op6_minhash_near_dedup, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
