@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontam, minhash, nbsvm, packing, streamdedup, tokens
+from recordloom.llm import decontam, minhash, nbsvm, packing, replytrees, sharding, streamdedup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,14 @@ def op3_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
+def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replytrees.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenised(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_orc_token_ids, op3_nbsvm_quality, op4_lsa_decontamination, op5_streaming_exact_dedup, op6_minhash_near_dedup, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_orc_token_ids, op3_nbsvm_quality, op4_lsa_decontamination, op5_streaming_exact_dedup, op6_minhash_near_dedup, op9_best_fit_packing, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_streaming_exact_dedup": OP5_SQL}
+    return {"op1_hilbert_shards": sharding.oracle(), "op5_streaming_exact_dedup": OP5_SQL, "op10_reply_trees": replytrees.oracle()}
