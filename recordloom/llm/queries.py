@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import decontam, minhash, nbsvm, packing, replytrees, sharding, streamdedup, tokens, urlfilter
+from recordloom.llm import decontam, minhash, nbsvm, packing, pii, replytrees, sharding, streamdedup, tokens, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op7_url_alias_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.decide(_table(spark, sf_dir, "pages"), rules)
 
 
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_shards, op2_orc_token_ids, op3_nbsvm_quality, op4_lsa_decontamination, op5_streaming_exact_dedup, op6_minhash_near_dedup, op7_url_alias_filter, op9_best_fit_packing, op10_reply_trees)}
+    return {f.__name__: f for f in (op1_hilbert_shards, op2_orc_token_ids, op3_nbsvm_quality, op4_lsa_decontamination, op5_streaming_exact_dedup, op6_minhash_near_dedup, op7_url_alias_filter, op8_skip_chain_pii, op9_best_fit_packing, op10_reply_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
