@@ -9,8 +9,8 @@ a branch ends as soon as its waste exceeds what a better packing could afford.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +37,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _undominated(filling: list[int], rest: list[int], slack: int) -> bool:
+def _undominated(filling: list[int], ascending: list[int], slack: int) -> bool:
     """Whether no subset of the filling can be replaced by one larger left-out document that still fits.
 
-    rest: sizes that are left out, ascending.
+    ascending: all sizes that are left, those of the filling among them.
     """
+    used = Counter(filling)
     sums = {0}
     for x in filling:
         sums |= {s + x for s in sums}
     for s in sums:
-        at = bisect_right(rest, s)
-        if at < len(rest) and rest[at] <= s + slack:
-            return False
+        at = bisect_right(ascending, s)
+        while at < len(ascending) and ascending[at] <= s + slack:
+            x = ascending[at]
+            after = bisect_right(ascending, x)
+            if after - at > used[x]:
+                return False
+            at = after
     return True
 
 
@@ -59,43 +64,40 @@ def fillings(sizes: list[int], room: int, waste: int, most: int, steps: int) ->
     caller keeps an incumbent, so what isn't looked at costs optimality only.
     """
     found: list[tuple[int, list[int]]] = []
-    ascending = [-s for s in sizes]  # ascending for bisect
-    tail = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])
+    falling = [-s for s in sizes]  # ascending, for bisect
+    ascending = sizes[::-1]
     budget = [steps]
+    least = sizes[-1] if sizes else 0
 
     def grow(at: int, left: int, chosen: list[int]) -> None:
         budget[0] -= 1
         if budget[0] < 0 or len(found) >= most:
             return
-        at = max(at, bisect_left(ascending, -left))
+        at = max(at, bisect_left(falling, -left)) if left >= least else len(sizes)
         if at >= len(sizes):
-            if left <= waste:
-                inside = set(chosen)
-                rest = [sizes[i] for i in range(len(sizes) - 1, -1, -1) if i not in inside]
-                if len(chosen) > 10 or _undominated([sizes[i] for i in chosen], rest, left):
-                    found.append((left, list(chosen)))
-            return
-        if left - tail[at] > waste:
+            if left <= waste and (len(chosen) > 10 or _undominated([sizes[i] for i in chosen], ascending, left)):
+                found.append((left, list(chosen)))
             return
         chosen.append(at)
         grow(at + 1, left - sizes[at], chosen)
         chosen.pop()
-        after = bisect_right(ascending, ascending[at])  # leave out all of this size: equal documents are interchangeable
-        grow(after, left, chosen)
+        # leave out all of this size: equal documents are interchangeable
+        grow(bisect_right(falling, falling[at]), left, chosen)
 
     grow(0, room, [])
     return [x for _, x in sorted(found, key=lambda f: f[0])]
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = 2000, most: int = 24, steps: int = 4000) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, nodes: int = 1000, most: int = 4, steps: int = 120) -> list[list[int]]:
     """Bins of indexes into sizes (descending, each at most capacity): best-fit decreasing, improved by bin completion.
 
     nodes bounds the search; a packing is optimal where its number of bins
-    equals the volume bound or the search ended within its bounds.
+    equals the larger of the volume bound and the number of documents over half
+    of the capacity, or the search ended within its limits.
     """
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = -(-total // capacity)
+    bound = max(-(-total // capacity), sum(2 * s > capacity for s in sizes))
     budget = [nodes]
 
     def search(left: list[int], done: list[list[int]], wasted: int) -> bool:
@@ -125,7 +127,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = 2000, most: int = 24,
                 return False
         return False
 
-    if len(incumbent) > bound and len(sizes) < 900:  # the depth of the recursion
+    if len(incumbent) > bound and len(incumbent) < 700:  # the depth of the recursion
         search(list(range(len(sizes))), [], 0)
     return incumbent
 
