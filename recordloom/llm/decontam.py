@@ -108,10 +108,12 @@ def _sum(dtype: str):
     return run
 
 
-def tree_sum(rows: DataFrame, dtype: str, lanes: int = 16) -> np.ndarray | None:
-    """Sum of arrays, one a row in column payload, added up on executors; the driver sees one for each lane."""
-    sums = rows.select(F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane"), "payload").groupBy("lane").applyInArrow(_sum(dtype), "payload binary").collect()
-    return sum(np.frombuffer(bytes(x.payload), dtype=dtype) for x in sums) if sums else None
+def tree_sum(rows: DataFrame, dtype: str, lanes: int = 32) -> np.ndarray | None:
+    """Sum of arrays, one a row in column payload, added up on executors in two levels; the driver sees a single one."""
+    lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
+    sums = rows.select(lane, "payload").groupBy("lane").applyInArrow(_sum(dtype), "payload binary")
+    total = sums.withColumn("lane", F.lit(0)).groupBy("lane").applyInArrow(_sum(dtype), "payload binary").collect()
+    return np.frombuffer(bytes(total[0].payload), dtype=dtype) if total else None
 
 
 class Embedder:
