@@ -3,19 +3,599 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions import values as V
+from recordloom.operators import analytics as A
+from recordloom.operators import diff as D
+from recordloom.operators import filters as flt
+from recordloom.operators import index as I
+from recordloom.operators import normalize as N
+from recordloom.operators import patch as P
+from recordloom.operators import validate as val
+from recordloom.operators import write as W
+from recordloom.plans import template
+from recordloom.sources import markdown, toml
+
+
+@dataclass(frozen=True)
+class Query:
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+_ALL: dict[str, Query] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _ALL[name or f.__name__] = Query(f, sql)
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumn("_path", F.col(key).cast("string")) if key else df
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels; those without have nulls."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return docs.join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+_LABELLED = "(SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where("o_totalprice > 100000").groupBy(F.col("o_orderpriority").alias("value")).agg(F.count("*").alias("count"))
+    return A.facets(_t(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice>100000"])
+
+
+_query("SELECT coalesce(o_orderpriority, '') AS value, count(*) AS count FROM orders WHERE o_totalprice > 100000 GROUP BY 1", "facets_filtered")(flagship)
+
+
+# -- filters ---------------------------------------------------------------------
+
+
+def _filter(name: str, table: str, clauses: list[str], keep: str, where: str) -> None:
+    fields = keep.split(", ")
+    source = _LABELLED if table == "labelled" else table
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _labelled(spark, sf_dir) if table == "labelled" else _t(spark, sf_dir, table)
+        return flt.where(df, clauses).select(*fields)
+
+    _ALL[name] = Query(run, f"SELECT {keep} FROM {source} WHERE {where}")
+
+
+_filter("filter_eq_string", "orders", ["o_orderstatus=F"], "o_orderkey, o_orderstatus", "o_orderstatus = 'F'")
+_filter("filter_eq_number", "part", ["p_size=15"], "p_partkey, p_size", "p_size = 15")
+_filter("filter_eq_hex_number", "part", ["p_size=0x0F"], "p_partkey, p_size", "p_size = 15")
+_filter("filter_ne_null_passes", "labelled", ["quality!=1"], "doc_id, lang", "quality IS DISTINCT FROM 1")
+_filter("filter_eq_empty_is_null_or_zero", "labelled", ["quality="], "doc_id, lang", "quality IS NULL OR quality = 0")
+_filter("filter_gt_number", "lineitem", ["l_quantity>=30"], "l_orderkey, l_linenumber, l_quantity", "l_quantity >= 30")
+_filter("filter_not_a_number", "lineitem", ["l_quantity>many"], "l_orderkey, l_linenumber", "false")
+_filter("filter_range_date", "orders", ["o_orderdate>=1996-03-01", "o_orderdate<1997-01-01"], "o_orderkey, o_custkey", "o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
+_filter("filter_eq_date", "orders", ["o_orderdate=1996-03-01T00:00:00.000Z"], "o_orderkey, o_custkey", "o_orderdate = TIMESTAMP '1996-03-01'")
+_filter("filter_lexical_string", "customer", ["c_mktsegment>F"], "c_custkey, c_mktsegment", "c_mktsegment > 'F'")
+_filter("filter_regex", "part", ["p_name~^[a-m].*e"], "p_partkey, p_name", "regexp_matches(p_name, '^[a-m].*e')")
+_filter("filter_regex_on_number", "part", ["p_size~^1"], "p_partkey, p_size", "regexp_matches(CAST(p_size AS VARCHAR), '^1')")
+_filter("filter_in", "nation", ["n_name in (NATION_1, NATION_3, FRANCE, GERMANY)"], "n_nationkey, n_name", "n_name IN ('NATION_1', 'NATION_3', 'FRANCE', 'GERMANY')")
+_filter("filter_in_numbers", "part", ["p_size in (1, 7, 50)"], "p_partkey, p_size", "p_size IN (1, 7, 50)")
+_filter("filter_present", "labelled", ["quality:present"], "doc_id, lang", "quality IS NOT NULL")
+_filter("filter_empty", "labelled", ["toxic:empty"], "doc_id, lang", "toxic IS NULL")
+_filter("filter_multi_and", "lineitem", ["l_quantity>10", "l_returnflag=R", "l_discount<=0.05"], "l_orderkey, l_linenumber, l_returnflag", "l_quantity > 10 AND l_returnflag = 'R' AND l_discount <= 0.05")
+_filter("filter_unknown_field", "nation", ["nothing!=x"], "n_nationkey", "true")
+
+
+@_query("SELECT event_id, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 3")
+def filter_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").withColumn("props", F.from_json("props", "k bigint"))
+    return events.where(flt.matching(events, {"props": {"k": 3}})).select("event_id", "user_id")
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0")
+def filter_mapping_with_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "supplier")
+    return df.where(flt.matching(df, {"s_nationkey": 3, "s_acctbal": lambda c, _: c > 0})).select("s_suppkey")
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE false")
+def filter_mapping_is_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "supplier")
+    return df.where(flt.matching(df, {"s_nationkey": 3.0})).select("s_suppkey")
+
+
+@_query("SELECT vec_id FROM embeddings WHERE [label, 1] = [2, 1]")
+def filter_array_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "embeddings").withColumn("pair", F.array("label", F.lit(1)))
+    return df.where(flt.matching(df, {"pair": [2, 1]})).select("vec_id")
+
+
+# -- facets, counts, order ----------------------------------------------------------
+
+
+def _facet(name: str, table: str, field: str, sql: str) -> None:
+    _ALL[name] = Query(lambda spark, sf_dir: A.facets(_labelled(spark, sf_dir) if table == "labelled" else _t(spark, sf_dir, table), field), sql)
+
+
+_NUMBER = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+_facet("facets_string", "events", "event_type", "SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1")
+_facet("facets_flag", "lineitem", "l_returnflag", "SELECT l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 1")
+_facet("facets_int_key", "part", "p_size", "SELECT CAST(p_size AS VARCHAR) AS value, count(*) AS count FROM part GROUP BY 1")
+_facet("facets_double_key", "lineitem", "l_quantity", f"SELECT {_NUMBER.format('l_quantity')} AS value, count(*) AS count FROM lineitem GROUP BY 1")
+_facet("facets_fraction_key", "lineitem", "l_discount", f"SELECT {_NUMBER.format('l_discount')} AS value, count(*) AS count FROM lineitem GROUP BY 1")
+_facet("facets_null_key", "labelled", "quality", f"SELECT coalesce(CAST(quality AS VARCHAR), '') AS value, count(*) AS count FROM {_LABELLED} GROUP BY 1")
+_facet("facets_date_key", "orders", "o_orderdate", "SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS value, count(*) AS count FROM orders GROUP BY 1")
+
+
+@_query("SELECT c_mktsegment AS value, count(*) AS count FROM customer GROUP BY 1")
+def distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.distinct(_t(spark, sf_dir, "customer"), "c_mktsegment")
+
+
+@_query("SELECT count(DISTINCT p_brand) AS \"distinct\", count(*) AS total FROM part WHERE p_size > 10")
+def distinct_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.cardinality(_t(spark, sf_dir, "part"), "p_brand", ["p_size>10"]).select("distinct", F.col("total").cast("bigint").alias("total"))
+
+
+@_query("SELECT count(*) AS count, count(*) AS of FROM orders")
+def count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.count(_t(spark, sf_dir, "orders"))
+
+
+@_query("SELECT count(*) FILTER (o_orderstatus = 'O') AS count, count(*) AS of FROM orders")
+def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.count(_t(spark, sf_dir, "orders"), ["o_orderstatus=O"])
+
+
+@_query("SELECT least(count(*) FILTER (o_orderstatus = 'O'), 50) AS shown, count(*) FILTER (o_orderstatus = 'O') AS total FROM orders")
+def shown_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.shown_of_total(_t(spark, sf_dir, "orders"), ["o_orderstatus=O"], 50)
+
+
+@_query(f"SELECT doc_id, quality FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, CAST(doc_id AS VARCHAR) LIMIT 100")
+def sort_desc_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.query(_labelled(spark, sf_dir).withColumn("_path", F.col("doc_id").cast("string")), sort="quality", desc=True, limit=100, fields=["doc_id", "quality"])
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR) LIMIT 25")
+def sort_asc_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.query(_t(spark, sf_dir, "orders", "o_orderkey"), sort="o_totalprice", limit="25", fields=["o_orderkey", "o_totalprice"])
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY CAST(o_orderkey AS VARCHAR) LIMIT 1")
+def query_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.first(_t(spark, sf_dir, "orders", "o_orderkey"), ["o_orderstatus=F"]).select("o_orderkey")
+
+
+@_query("SELECT s_name, s_suppkey FROM supplier")
+def project_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.project(_t(spark, sf_dir, "supplier"), ["s_name", "missing", "s_suppkey"])
+
+
+@_query("SELECT doc_id, strlen(text) AS body_size, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS title FROM documents")
+def body_size_and_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", V.body_size(F.col("text")).alias("body_size"), V.truncated(F.col("text"), 60).alias("title"))
+
+
+@_query("SELECT 'documents' AS name, count(*) AS records FROM documents UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def sheets_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in ("documents", "orders", "part"):
+        one = _t(spark, sf_dir, name).agg(F.count("*").alias("records")).select(F.lit(name).alias("name"), "records")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# -- templates and pruning ------------------------------------------------------------
+
+
+def _path(name: str, table: str, source: str, keep: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _t(spark, sf_dir, table)
+        return df.select(keep, template.parse(source).render(df, strict=True).alias("path"))
+
+    _ALL[name] = Query(run, f"SELECT {keep}, {sql} AS path FROM {table}")
+
+
+_path("path_flat", "customer", "${{ c_custkey }}", "c_custkey", "CAST(c_custkey AS VARCHAR)")
+_path("path_composite", "supplier", "${{ s_nationkey }}/${{ s_suppkey }}", "s_suppkey", "s_nationkey || '/' || s_suppkey")
+_path("path_joined_parts", "part", "p${{ p_size }}/${{ p_brand }}--${{ p_partkey }}", "p_partkey", "'p' || p_size || '/' || p_brand || '--' || p_partkey")
+_path("path_bucket_year", "orders", "${{ o_orderdate: YYYY }}/${{ o_orderkey }}", "o_orderkey", "strftime(o_orderdate, '%Y/') || o_orderkey")
+_path("path_bucket_month", "orders", "${{ o_orderdate: YYYY/MM }}/${{ o_orderkey }}", "o_orderkey", "strftime(o_orderdate, '%Y/%m/') || o_orderkey")
+_path("path_bucket_day", "orders", "${{ o_orderdate: YYYY/MM/DD }}/${{ o_orderkey }}", "o_orderkey", "strftime(o_orderdate, '%Y/%m/%d/') || o_orderkey")
+_path("path_bucket_isoweek", "events", "${{ ts: YYYY/WW }}/${{ event_id }}", "event_id", "strftime(ts, '%G/%V/') || event_id")
+_path("path_expression", "customer", "${{ lower(c_mktsegment) }}/${{ c_custkey }}", "c_custkey", "lower(c_mktsegment) || '/' || c_custkey")
+_path("path_recursive", "supplier", "s/${{ s_name/** }}", "s_suppkey", "'s/' || s_name")
+
+
+@_query("SELECT strftime(o_orderdate, '%Y/%m') AS month, count(*) AS orders FROM orders GROUP BY 1")
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders")
+    year, month, _ = template.parse("${{ o_orderdate: YYYY/MM }}/${{ o_orderkey }}").component_columns(orders)
+    return orders.groupBy(F.concat_ws("/", year, month).alias("month")).agg(F.count("*").alias("orders"))
+
+
+def pruned_orders(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Orders stored by the buckets of their template, and filtered by a nation-like equality that prunes partitions."""
+    t = template.parse("${{ o_orderdate: YYYY/MM }}/${{ o_orderkey }}")
+    orders = _t(spark, sf_dir, "orders")
+    year, month, _ = t.component_columns(orders)
+    orders.withColumn("_p0", year).withColumn("_p1", month).repartition("_p0", "_p1").write.mode("overwrite").partitionBy("_p0", "_p1").parquet(folder)
+    stored = spark.read.schema(orders.schema.add("_p0", "string").add("_p1", "string")).parquet(folder)
+    import datetime as dt
+
+    at = dt.datetime(1996, 3, 1)
+    prune = t.pruning({"o_orderdate": at}, stored.columns)
+    return stored.where(prune).where(flt.matching(stored, {"o_orderdate": at})).select("o_orderkey", "o_custkey")
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate = TIMESTAMP '1996-03-01'")
+def prune_bucket_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_orders(spark, sf_dir, _scratch(spark, "pruned"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="recordloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# -- indexes ------------------------------------------------------------------------
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def index_multi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lookup(_t(spark, sf_dir, "customer", "c_custkey"), I.define("segment", "c_mktsegment"), "BUILDING").select("c_custkey", "c_name")
+
+
+@_query("SELECT c_custkey FROM customer WHERE lower(c_name) = (SELECT min(lower(c_name)) FROM customer)")
+def index_unique_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "customer", "c_custkey")
+    index = I.define("name", lambda d: F.lower(d["c_name"]), unique=True)
+    key = df.agg(F.min(F.lower("c_name"))).first()[0] or ""
+    return I.lookup(df, index, key).select("c_custkey")
+
+
+@_query("SELECT c_mktsegment AS key, count(*) AS records FROM customer GROUP BY 1 HAVING count(*) > 1")
+def index_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.conflicts(_t(spark, sf_dir, "customer", "c_custkey"), I.define("segment", "c_mktsegment", unique=True)).select("key", "records")
+
+
+@_query("SELECT n_name AS key, CAST(s_suppkey AS VARCHAR) AS supplier FROM nation LEFT JOIN supplier ON CAST(s_nationkey AS VARCHAR) = CAST(n_nationkey AS VARCHAR)")
+def index_batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    found = I.lookup_many(_t(spark, sf_dir, "supplier", "s_suppkey"), I.define("nation", "s_nationkey"), nations)
+    return found.select(F.col("n_name").alias("key"), F.col("s_suppkey").cast("string").alias("supplier"))
+
+
+@_query("SELECT CAST(a.c_custkey + 1000000 AS VARCHAR) AS path, CAST(a.c_custkey AS VARCHAR) AS owner FROM customer a WHERE a.c_custkey % 50 = 0")
+def index_write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = _t(spark, sf_dir, "customer", "c_custkey")
+    batch = existing.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 1_000_000).withColumn("_path", F.col("c_custkey").cast("string"))
+    return I.write_conflicts(existing, batch, I.define("name", "c_name", unique=True)).select("path", "owner")
+
+
+# -- diff and patch -------------------------------------------------------------------
+
+
+def orders_before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and the same with some deleted, some changed and some added."""
+    old = _t(spark, sf_dir, "orders", "o_orderkey")
+    key = F.col("o_orderkey")
+    kept = old.where(key % 10 != 0).withColumn("o_totalprice", F.when(key % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).withColumn("o_orderstatus", F.when(key % 21 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")))
+    added = old.where(key % 11 == 0).withColumn("o_orderkey", key + 100_000_000).withColumn("_path", F.col("o_orderkey").cast("string"))
+    return old, kept.unionByName(added)
+
+
+_STATUS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 10 = 0 THEN 'deleted' ELSE 'modified' END AS status FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 7 = 0
+UNION ALL SELECT CAST(o_orderkey + 100000000 AS VARCHAR), 'added' FROM orders WHERE o_orderkey % 11 = 0
+"""
+
+
+@_query(_STATUS)
+def diff_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.changes(*orders_before_after(spark, sf_dir)).select("path", "status")
+
+
+@_query(f"SELECT status, count(*) AS count FROM ({_STATUS}) GROUP BY 1")
+def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.totals(D.changes(*orders_before_after(spark, sf_dir)))
+
+
+@_query("SELECT CAST(n_nationkey + 500 AS VARCHAR) AS path, CAST(n_nationkey AS VARCHAR) AS old_path, 'renamed' AS status FROM nation WHERE n_nationkey % 3 = 0")
+def diff_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _t(spark, sf_dir, "nation", "n_nationkey")
+    new = old.withColumn("_path", F.when(F.col("n_nationkey") % 3 == 0, (F.col("n_nationkey") + 500).cast("string")).otherwise(F.col("_path")))
+    return D.changes(old, new, renames=True).select("path", "old_path", "status")
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS path, 'added' AS status FROM nation")
+def diff_from_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _t(spark, sf_dir, "nation", "n_nationkey")
+    return D.changes(new.limit(0), new).select("path", "status")
+
+
+@_query(
+    """
+SELECT CAST(o_orderkey AS VARCHAR) AS path, 'replace' AS op, '/o_totalprice' AS pointer FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 7 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'remove', '/o_orderstatus' FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 21 = 0
+"""
+)
+def diff_field_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.field_changes(*orders_before_after(spark, sf_dir)).select("path", "op", "pointer")
+
+
+@_query(None)
+def diff_json_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.with_patches(*orders_before_after(spark, sf_dir)).select("path", "status", "patch")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'patched' ELSE c_name END AS c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+def merge_patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return P.merge_columns(df, {"c_name": "patched", "c_acctbal": None}, flt.clause_column(df, "c_mktsegment=BUILDING"))
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'new' AS note FROM events")
+def merge_patch_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint, old string").alias("props"))
+    out = P.merge_columns(df, {"props": {"old": None}, "note": "new"})
+    return out.select("event_id", "props.k", "note")
+
+
+# -- writes -------------------------------------------------------------------------
+
+
+_CUSTOMER = template.parse("${{ c_custkey }}")
+
+
+def customer_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and a batch of them: some changed, some new, one in thirteen without a name."""
+    existing = _t(spark, sf_dir, "customer", "c_custkey")
+    key = F.col("c_custkey")
+    batch = existing.drop("_path").where(key % 2 == 0)
+    changed = batch.withColumn("c_acctbal", F.when(key % 4 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))).withColumn("c_name", F.when(key % 26 == 0, F.lit(None)).otherwise(F.col("c_name")))
+    new = batch.where(key % 6 == 0).withColumn("c_custkey", key + 10_000_000)
+    return existing, changed.unionByName(new)
+
+
+_NAMED = {"type": "object", "required": ["c_custkey", "c_name"]}
+_BATCH_SQL = "(SELECT c_custkey, CASE WHEN c_custkey % 26 = 0 THEN 'invalid' WHEN c_custkey % 4 = 0 THEN 'changed' ELSE 'no-op' END AS category FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000, 'insert' FROM customer WHERE c_custkey % 6 = 0)"
+
+
+@_query(f"SELECT category, count(*) AS count FROM {_BATCH_SQL} GROUP BY 1")
+def upsert_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = customer_batch(spark, sf_dir)
+    return W.categories(W.upsert_plan(existing, W.prepare(batch, _CUSTOMER, _NAMED)))
+
+
+@_query(f"SELECT CAST(c_custkey AS VARCHAR) AS record, 'required' AS code FROM {_BATCH_SQL} WHERE category = 'invalid'")
+def upsert_invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = customer_batch(spark, sf_dir)
+    return W.invalid_rows(W.upsert_plan(existing, W.prepare(batch, _CUSTOMER, _NAMED))).select("record", "code")
+
+
+@_query(f"SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000, c_acctbal FROM customer WHERE c_custkey % 6 = 0")
+def upsert_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = customer_batch(spark, sf_dir)
+    return W.apply_upsert(existing, W.upsert_plan(existing, W.prepare(batch, _CUSTOMER))).select("c_custkey", "c_acctbal")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000 FROM customer WHERE c_custkey % 6 = 0")
+def upsert_delete_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = customer_batch(spark, sf_dir)
+    return W.apply_upsert(existing, W.upsert_plan(existing, W.prepare(batch, _CUSTOMER)), delete_missing=True).select("c_custkey")
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS _path FROM customer WHERE c_custkey % 2 = 1")
+def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing, batch = customer_batch(spark, sf_dir)
+    return W.missing(existing, W.prepare(batch, _CUSTOMER)).select("_path")
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'patched' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier")
+def bulk_patch_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = _t(spark, sf_dir, "supplier", "s_suppkey")
+    own = existing.where("s_suppkey % 2 = 0").select("s_suppkey", F.lit("patched").alias("s_name"), F.array(F.lit("s_acctbal")).alias("_delete"))
+    extra = own.withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000)
+    return W.bulk_patch(existing, own.unionByName(extra), template.parse("${{ s_suppkey }}"), "skip").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'patched' ELSE s_name END AS s_name FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'patched' FROM supplier WHERE s_suppkey % 2 = 0")
+def bulk_patch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = _t(spark, sf_dir, "supplier", "s_suppkey")
+    own = existing.where("s_suppkey % 2 = 0").select("s_suppkey", F.lit("patched").alias("s_name"))
+    extra = own.withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000)
+    return W.bulk_patch(existing, own.unionByName(extra), template.parse("${{ s_suppkey }}"), "insert").select("s_suppkey", "s_name")
+
+
+@_query("SELECT _status, count(*) AS count FROM (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'found' ELSE 'missing' END AS _status FROM supplier) GROUP BY 1")
+def bulk_patch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    existing = _t(spark, sf_dir, "supplier", "s_suppkey")
+    patches = existing.select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey")).otherwise(F.col("s_suppkey") + 1_000_000).alias("s_suppkey"), F.lit("x").alias("s_name"))
+    return W.patch_plan(existing, patches, template.parse("${{ s_suppkey }}")).groupBy("_status").agg(F.count("*").alias("count"))
+
+
+@_query("SELECT p_partkey FROM part WHERE NOT (p_size > 20 AND p_brand = 'Brand#13')")
+def bulk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.delete_where(_t(spark, sf_dir, "part", "p_partkey"), ["p_size>20", "p_brand=Brand#13"]).select("p_partkey")
+
+
+@_query("SELECT CAST(p_partkey + 100 AS VARCHAR) AS _path, p_partkey + 100 IN (SELECT p_partkey FROM part) AS existed FROM part")
+def delete_existed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part", "p_partkey")
+    return W.existed(part, part.select((F.col("p_partkey") + 100).cast("string").alias("_path")))
+
+
+@_query("SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0")
+def delete_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part", "p_partkey")
+    return W.delete_paths(part, part.where("p_partkey % 3 = 0").select("_path")).select("p_partkey")
+
+
+@_query("SELECT CAST(a.p_partkey + 100 AS VARCHAR) AS _path, b.p_name FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 100")
+def batch_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part", "p_partkey")
+    return W.read_paths(part, part.select((F.col("p_partkey") + 100).cast("string").alias("_path"))).select("_path", "p_name")
+
+
+# -- validation and inference ---------------------------------------------------------
+
+_LINE_SCHEMA = {
+    "type": "object",
+    "required": ["l_orderkey", "l_returnflag"],
+    "properties": {
+        "l_quantity": {"type": "number", "minimum": 1, "maximum": 40},
+        "l_returnflag": {"type": "string", "enum": ["A", "N"]},
+        "l_discount": {"type": "number", "exclusiveMaximum": 0.1},
+        "l_linestatus": {"type": "string", "pattern": "^[OF]$", "maxLength": 1},
+        "l_linenumber": {"type": "integer", "multipleOf": 1},
+    },
+}
+_LINE_ISSUES = """
+SELECT l_orderkey, l_linenumber, 'maximum' AS code, '/l_quantity' AS path FROM lineitem WHERE l_quantity > 40
+UNION ALL SELECT l_orderkey, l_linenumber, 'minimum', '/l_quantity' FROM lineitem WHERE l_quantity < 1
+UNION ALL SELECT l_orderkey, l_linenumber, 'enum', '/l_returnflag' FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT l_orderkey, l_linenumber, 'exclusiveMaximum', '/l_discount' FROM lineitem WHERE l_discount >= 0.1
+"""
+
+
+@_query(_LINE_ISSUES)
+def validate_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", F.inline(val.issues_column(df, _LINE_SCHEMA))).select("l_orderkey", "l_linenumber", "code", "path")
+
+
+@_query(f"SELECT code, count(*) AS issues FROM ({_LINE_ISSUES}) GROUP BY 1")
+def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return val.issue_counts(_t(spark, sf_dir, "lineitem", "l_orderkey"), _LINE_SCHEMA)
+
+
+@_query("SELECT event_id, 'maximum' AS code FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("props"))
+    schema = {"properties": {"props": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}}}}
+    return val.issues(df, schema, "event_id").select("event_id", "code")
+
+
+@_query("SELECT n_nationkey, 'if' AS origin, 'minLength' AS code FROM nation WHERE n_regionkey = 1 AND length(n_name) < 8")
+def validate_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = {"if": {"properties": {"n_regionkey": {"const": 1}}}, "then": {"properties": {"n_name": {"minLength": 8}}}}
+    return val.issues(_t(spark, sf_dir, "nation"), schema, "n_nationkey").select("n_nationkey", F.lit("if").alias("origin"), "code")
+
+
+@_query(f"""
+SELECT 'doc_id' AS field, 'integer' AS type, count(doc_id) AS present, count(*) AS records, CAST(min(doc_id) AS DOUBLE) AS minimum, CAST(max(doc_id) AS DOUBLE) AS maximum FROM {_LABELLED}
+UNION ALL SELECT 'lang', 'string', count(lang), count(*), NULL, NULL FROM {_LABELLED}
+UNION ALL SELECT 'n_chars', 'integer', count(n_chars), count(*), min(n_chars), max(n_chars) FROM {_LABELLED}
+UNION ALL SELECT 'quality', 'integer', count(quality), count(*), min(quality), max(quality) FROM {_LABELLED}
+UNION ALL SELECT 'toxic', 'integer', count(toxic), count(*), min(toxic), max(toxic) FROM {_LABELLED}
+""")
+def infer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.field_statistics(_labelled(spark, sf_dir)).select("field", "type", "present", "records", "minimum", "maximum")
+
+
+# -- codecs and normalisation -----------------------------------------------------------
+
+
+@_query("SELECT n_nationkey, sha1(encode('blob ' || strlen(n_name) || chr(0) || n_name)) AS hash FROM nation")
+def blob_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "nation").select("n_nationkey", V.blob_hash(F.col("n_name")).alias("hash"))
+
+
+@_query("SELECT doc_id, nullif(trim(regexp_extract('# ' || regexp_replace(substr(text, 1, 30), '[\\r\\n]', ' ', 'g'), '^# ([^\\r\\n]+)', 1)), '') AS title, strlen(text) AS body_size FROM documents")
+def markdown_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    body = F.concat(F.lit("intro\n# "), F.regexp_replace(F.substring("text", 1, 30), "[\\r\\n]", " "), F.lit("\n\n"), F.col("text"))
+    return docs.select("doc_id", F.trim(V.first_h1(body)).alias("title"), V.body_size(F.col("text")).alias("body_size"))
+
+
+@_query("SELECT doc_id, 'lang = \"' || lang || '\"' || chr(10) AS front, text AS body FROM documents")
+def markdown_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    whole = F.concat(F.lit('+++\nlang = "'), F.col("lang"), F.lit('"\n+++\n\n'), F.col("text"))
+    return docs.select("doc_id", markdown.front_column(whole).alias("front"), markdown.body_column(whole).alias("body"))
+
+
+@_query("SELECT n_nationkey, 'n_name = \"' || n_name || '\"' || chr(10) || 'n_nationkey = ' || n_nationkey || chr(10) || 'n_regionkey = ' || n_regionkey || chr(10) AS text FROM nation")
+def canonical_toml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "nation")
+    return df.select("n_nationkey", toml.serialize_column(N.canonical_json(df)).alias("text"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation")
+def toml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "nation")
+    back = toml.parse_column(toml.serialize_column(N.canonical_json(df)))
+    return df.select(F.from_json(back, df.schema).alias("d")).select("d.n_nationkey", "d.n_name")
+
+
+@_query("SELECT s_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_acctbal DESC, s_suppkey) AS suppliers FROM supplier GROUP BY 1", "sort_list_by_fields")
+def _sort_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct("s_suppkey", "s_acctbal")).alias("items"))
+    ordered = N.sorted_list(lists, "items", {"s_acctbal": "DESC", "s_suppkey": "ASC"})
+    return lists.select("s_nationkey", F.array_join(ordered["s_suppkey"].cast("array<string>"), ",").alias("suppliers"))
+
+
+@_query(None)
+def sort_list_by_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _t(spark, sf_dir, "part").groupBy("p_size").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
+    return lists.select("p_size", N.sorted_list(lists, "names", True).alias("names"))
+
+
+@_query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS b FROM orders")
+def text_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders")
+    return df.select("o_orderkey", V.js_string(F.col("o_orderkey"), df.schema["o_orderkey"].dataType).alias("a"), V.js_string(F.col("o_totalprice"), df.schema["o_totalprice"].dataType).alias("b"))
+
+
+# -- store ----------------------------------------------------------------------------
+
+
+@_query("SELECT 'added' AS status, count(*) AS count FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'modified', count(*) FROM supplier WHERE s_suppkey % 2 = 1")
+def store_commit_and_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+
+    from recordloom.store import Store
+
+    store = Store(spark, tempfile.mkdtemp(prefix="recordloom-store-"))
+    supplier = _t(spark, sf_dir, "supplier")
+    with store.transact("Declare suppliers") as tx:
+        tx.write_config("suppliers", {"path": "${{ s_nationkey }}/${{ s_suppkey }}"})
+        tx.upsert("suppliers", supplier.where("s_suppkey % 2 = 1"))
+    first = store.head
+    with store.transact("Change all") as tx:
+        tx.upsert("suppliers", supplier.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 2 == 1, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))))
+    return D.totals(store.diff("suppliers", first, None))
+
+
+@_query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+def store_pruned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+
+    from recordloom.store import Store
+
+    store = Store(spark, tempfile.mkdtemp(prefix="recordloom-store-"))
+    with store.transact("Declare suppliers") as tx:
+        tx.write_config("suppliers", {"path": "${{ s_nationkey }}/${{ s_suppkey }}"})
+        tx.upsert("suppliers", _t(spark, sf_dir, "supplier"))
+    return store.sheet("suppliers").query({"s_nationkey": 3}).select("s_suppkey", "s_name")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q.run for k, q in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q.sql for k, q in _ALL.items() if q.sql is not None}
