@@ -49,7 +49,7 @@ def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not known.where("up is not null").head(1):
             break
         above = known.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("total").alias("more"))
-        longer = known.join(above, ["conv", "up"], "left").select(
+        longer = known.join(above, ["conv", "up"], "left").where("up is null or head is not null").select(
             "conv", "node", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<bigint>")), "path").alias("path"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")
         )
         # a path with a node twice runs in a cycle

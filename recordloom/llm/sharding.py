@@ -115,12 +115,13 @@ def shard(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "n_chars")
     cuts = {d: quantile_cuts(docs, d, bits) for d in dims}
     placed = docs.withColumn(hilbert, curve_index([quantised(docs[d], cuts[d]) for d in dims], bits))
     weight = F.coalesce(F.greatest(F.col(volume).cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    cells = placed.groupBy(F.col(hilbert).alias("__cell")).agg(F.sum(weight).alias("__volume"))
-    cells = save(running_total(cells, "__cell", "__volume").withColumnRenamed("before", "__before"), "cells")
+    cell, size, before = (free_name(docs, x) for x in ("__cell", "__volume", "__before"))
+    cells = placed.groupBy(F.col(hilbert).alias(cell)).agg(F.sum(weight).alias(size))
+    cells = save(running_total(cells, cell, size).withColumnRenamed("before", before), "cells")
     spread = F.shiftright((F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(1_048_573)) * F.lit(_SPREAD)) % F.lit(1 << 32), 16)
-    place = F.col("__before") + F.shiftright(F.col("__volume") * spread, 16)
-    rows = placed.join(F.broadcast(cells), placed[hilbert] == F.col("__cell")).withColumn(number, F.floor(place / F.lit(shard_volume)).cast("int")).drop("__cell", "__volume", "__before")
-    total = cells.agg(F.sum("__volume")).first()[0] or 0
+    place = F.col(before) + F.shiftright(F.col(size) * spread, 16)
+    rows = placed.join(F.broadcast(cells), F.col(hilbert) == F.col(cell)).withColumn(number, F.floor(place / F.lit(shard_volume)).cast("int")).drop(cell, size, before)
+    total = cells.agg(F.sum(size)).first()[0] or 0
     return rows.repartitionById(total // shard_volume + 1, number).sortWithinPartitions(number, hilbert, id_col)
 
 
