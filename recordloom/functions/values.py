@@ -31,7 +31,7 @@ def column_of(df: DataFrame, field: str) -> Column:
 
 
 def double_text(c: Column) -> Column:
-    """Text of a double: plain decimals from 1e-7 to 1e21, exponents beyond."""
+    """Text of a double: plain decimals from 1e-6 to 1e21, exponents beyond."""
     java = F.abs(c).cast("string")
     mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
     digits = F.regexp_replace(mantissa, r"\.", "")
@@ -40,7 +40,7 @@ def double_text(c: Column) -> Column:
     spread = (
         F.when((power >= 0) & (power < 21) & (size <= power + 1), F.rpad(digits, power + 1, "0"))
         .when((power >= 0) & (power < 21), F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size)))
-        .when((power < 0) & (power >= -7), F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .when((power < 0) & (power >= -6), F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
         .otherwise(F.concat(mantissa, F.when(power > 0, F.lit("e+")).otherwise(F.lit("e-")), F.abs(power).cast("string")))
     )
     plain = F.when(F.instr(java, "E") > 0, spread).otherwise(F.regexp_replace(java, r"\.0$", ""))
@@ -104,9 +104,9 @@ def present(c: Column, kind: T.DataType) -> Column:
     """Not null, not the empty text, not an empty list. 0, false and an empty table are present."""
     out = c.isNotNull()
     if isinstance(kind, T.StringType):
-        return out & (F.coalesce(c, F.lit("")) != "")
+        return out & (c != "")
     if isinstance(kind, T.ArrayType):
-        return out & (F.coalesce(F.size(c), F.lit(0)) > 0)
+        return out & (F.size(c) > 0)
     return out
 
 

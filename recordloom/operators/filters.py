@@ -1,8 +1,9 @@
 """Filters: the compact language of clauses, and filters as mappings, compiled to Columns.
 
-Everything compiles to built-in expressions that never are null, so Catalyst can
-push them to the scan, and types are dispatched from the schema, so that no
-comparison depends on implicit casts.
+Everything compiles to plain comparisons, which Catalyst pushes to the scan, and
+types are dispatched from the schema, so that no comparison depends on implicit
+casts.  In a filter, null is as good as false; where a condition is negated or
+shown, predicate() makes it true or false.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.errors import FilterError
-from recordloom.functions.values import INTEGRAL, NUMERIC, column_of, iso_text, js_number, js_string, present, scalar_string, type_of
+from recordloom.functions.values import INTEGRAL, NUMERIC, column_of, js_number, js_string, present, type_of
 
 _FORMS = "field=value, field!=value, field>value, field<value, field>=value, field<=value, field~regex, field in (a,b), field:present, field:empty"
 _FIELD = re.compile(r"[\w.-]+")
@@ -76,24 +77,47 @@ def _number(c: Column, kind: T.DataType, value: float) -> tuple[Column, Column]:
     return c.cast("double"), F.lit(value)
 
 
-def equals(c: Column, kind: T.DataType, text: str) -> Column:
-    """Equality with an operand of the language; never null, and null equals only the empty operand."""
+def _exact_instant(c: Column, kind: T.DataType, text: str) -> Column:
+    """Whether a datetime, cut to milliseconds, has this ISO text; as a range, which scans can filter by."""
+    at = _instant(text)
+    if at is None or at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03}Z" != text or at.microsecond % 1000:
+        return F.lit(False)
+    own = _as_utc(c, kind)
+    return (own >= F.lit(at).cast("timestamp_ntz")) & (own < F.lit(at + dt.timedelta(milliseconds=1)).cast("timestamp_ntz"))
+
+
+def same(c: Column, kind: T.DataType, text: str) -> Column:
+    """Equality of a value that isn't null with an operand of the language."""
     if isinstance(kind, NUMERIC):
         value = js_number(text)
         if math.isnan(value):
-            same = F.lit(False)
-        else:
-            a, b = _number(c, kind, value)
-            same = a == b
-    elif isinstance(kind, T.BooleanType):
-        same = c == F.lit(text == "true") if text in ("true", "false") else F.lit(False)
-    elif isinstance(kind, _DATES):
-        same = iso_text(c, kind) == text
-    else:
-        same = js_string(c, kind) == text
-    if text == "":
-        return c.isNull() | F.coalesce(same, F.lit(False))
-    return F.coalesce(same, F.lit(False))
+            return F.lit(False)
+        a, b = _number(c, kind, value)
+        return a == b
+    if isinstance(kind, T.BooleanType):
+        return c == F.lit(text == "true") if text in ("true", "false") else F.lit(False)
+    if isinstance(kind, _DATES):
+        return _exact_instant(c, kind, text)
+    return js_string(c, kind) == text
+
+
+def equals(c: Column, kind: T.DataType, text: str) -> Column:
+    """Equality with an operand; null equals only the empty one."""
+    return c.isNull() | same(c, kind, text) if text == "" else same(c, kind, text)
+
+
+def differs(c: Column, kind: T.DataType, text: str) -> Column:
+    """The opposite of equals(): null differs from all operands but the empty one."""
+    return c.isNotNull() & ~same(c, kind, text) if text == "" else c.isNull() | ~same(c, kind, text)
+
+
+def _member(c: Column, kind: T.DataType, operands: list[str]) -> Column:
+    if not operands:
+        return F.lit(False)
+    if isinstance(kind, INTEGRAL):
+        whole = [int(x) for x in operands if re.fullmatch(r"-?(0|[1-9]\d{0,8})", x) and x != "-0"]
+        return c.isin(whole) if whole else F.lit(False)
+    return js_string(c, kind).isin(operands)
 
 
 def _ordered(c: Column, kind: T.DataType, op: str, text: str) -> Column:
@@ -102,13 +126,13 @@ def _ordered(c: Column, kind: T.DataType, op: str, text: str) -> Column:
         if math.isnan(value):
             return F.lit(False)
         a, b = _number(c, kind, value)
-        if isinstance(kind, (T.FloatType, T.DoubleType)):  # NaN compares with nothing
-            return F.coalesce(_COMPARE[op](a, b) & ~F.isnan(a), F.lit(False))
-        return F.coalesce(_COMPARE[op](a, b), F.lit(False))
+        if isinstance(kind, (T.FloatType, T.DoubleType)) and op in (">", ">="):
+            return _COMPARE[op](a, b) & ~F.isnan(a)  # NaN compares with nothing, but sorts above all
+        return _COMPARE[op](a, b)
     if isinstance(kind, _DATES):
         at = _instant(text)
-        return F.lit(False) if at is None else F.coalesce(_COMPARE[op](_as_utc(c, kind), F.lit(at).cast("timestamp_ntz")), F.lit(False))
-    return F.coalesce(_COMPARE[op](js_string(c, kind), F.lit(text)), F.lit(False))
+        return F.lit(False) if at is None else _COMPARE[op](_as_utc(c, kind), F.lit(at).cast("timestamp_ntz"))
+    return _COMPARE[op](js_string(c, kind), F.lit(text))
 
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
@@ -120,7 +144,7 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def clause_column(df: DataFrame, clause: str | Clause) -> Column:
-    """One clause over the columns of df. A field that df lacks is absent in every record."""
+    """One clause over the columns of df; null counts as false. A field that df lacks is absent in every record."""
     field, op, operand = parse(clause) if isinstance(clause, str) else clause
     kind = type_of(df, field)
     c, kind = (column_of(df, field), kind) if kind is not None else (F.lit(None).cast("string"), T.StringType())
@@ -129,29 +153,29 @@ def clause_column(df: DataFrame, clause: str | Clause) -> Column:
     if op == "empty":
         return ~present(c, kind)
     if op == "in":
-        return scalar_string(c, kind).isin(operand) if operand else F.lit(False)
+        return _member(c, kind, operand)
     if op == "=":
         return equals(c, kind, operand)
     if op == "!=":
-        return ~equals(c, kind, operand)
+        return differs(c, kind, operand)
     if op == "~":
         try:
             re.compile(operand)
         except re.error as e:
             raise FilterError(f"invalid regular expression {operand!r}: {e}") from None
-        return F.coalesce(js_string(c, kind).rlike(operand), F.lit(False))
+        return js_string(c, kind).rlike(operand)
     return _ordered(c, kind, op, operand)
 
 
 def predicate(df: DataFrame, clauses: Iterable[str | Clause]) -> Column:
-    """All clauses together; none of them is true for every record."""
-    return reduce(lambda a, b: a & b, (clause_column(df, c) for c in clauses), F.lit(True))
+    """All clauses together, never null; without any, true for every record."""
+    return reduce(lambda a, b: a & b, (F.coalesce(clause_column(df, c), F.lit(False)) for c in clauses), F.lit(True))
 
 
 def where(df: DataFrame, clauses: Iterable[str | Clause]) -> DataFrame:
     """Records that satisfy all clauses."""
     parsed = list(clauses)
-    return df.where(predicate(df, parsed)) if parsed else df
+    return df.where(reduce(lambda a, b: a & b, (clause_column(df, c) for c in parsed))) if parsed else df
 
 
 def _literal(c: Column, kind: T.DataType, value: Any) -> Column:
@@ -173,18 +197,18 @@ def _literal(c: Column, kind: T.DataType, value: Any) -> Column:
     elif isinstance(value, (list, tuple)):
         if not isinstance(kind, T.ArrayType):
             return F.lit(False)
-        same = reduce(lambda a, b: a & b, (_literal(F.get(c, F.lit(k)), kind.elementType, v) for k, v in enumerate(value)), F.lit(True))
-        return F.coalesce((F.size(c) == len(value)) & same, F.lit(False))
+        alike = reduce(lambda a, b: a & b, (_literal(F.get(c, F.lit(k)), kind.elementType, v) for k, v in enumerate(value)), F.lit(True))
+        return (F.size(c) == len(value)) & alike
     else:
         ok = False
     if not ok:
         return F.lit(False)
     lit = F.lit(value).cast("timestamp_ntz") if isinstance(kind, T.TimestampNTZType) else F.lit(value)
-    return F.coalesce(c == lit, F.lit(False))
+    return c == lit
 
 
 def matching(df: DataFrame, criteria: Mapping[str, Any], body: str | None = None, with_body: bool = True) -> Column:
-    """A filter as a mapping of fields to values, nested mappings, Columns or functions of (Column, DataFrame).
+    """A filter as a mapping of fields to values, nested mappings, Columns or functions of (Column, DataFrame); null counts as false.
 
     All entries must hold. Nested mappings look into struct columns, and an absent
     struct matches none, not even the empty mapping.
@@ -194,9 +218,9 @@ def matching(df: DataFrame, criteria: Mapping[str, Any], body: str | None = None
 
     def one(c: Column, kind: T.DataType | None, value: Any) -> Column:
         if isinstance(value, Column):
-            return F.coalesce(value, F.lit(False))
+            return value
         if callable(value):
-            return F.coalesce(value(c, df), F.lit(False))
+            return value(c, df)
         if isinstance(value, Mapping):
             if not isinstance(kind, T.StructType):
                 return F.lit(False)
