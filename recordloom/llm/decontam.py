@@ -52,7 +52,7 @@ class Params:
 def _pack(docs_id: pa.Array, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     words = hashes.astype(np.uint32)
     blobs = pa.array([words[at[k] : at[k + 1]].tobytes() for k in range(len(at) - 1)], pa.binary())
-    return pa.RecordBatch.from_arrays([docs_id, blobs], names=["doc_id", "payload"])
+    return pa.RecordBatch.from_arrays([docs_id, pa.nulls(len(docs_id), pa.int32()), blobs], names=["doc_id", "part", "payload"])
 
 
 def _signs(n: int, seed: int, columns: int) -> np.ndarray:
@@ -62,7 +62,11 @@ def _signs(n: int, seed: int, columns: int) -> np.ndarray:
 
 
 def _hash_and_sketch(columns: int):
-    """mapInArrow: (doc_id, text) to the word hashes of every document, and with a null id the sums of the partition."""
+    """mapInArrow: (doc_id, text) to the word hashes of every document, and the sums of the partition.
+
+    Sums have a null id and come in parts: 0 is the number of passages that hold
+    each bucket, k from 1 the k-th column of the sketch, -1 the number of passages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((columns + 1, _D), dtype=np.int64)
@@ -82,8 +86,9 @@ def _hash_and_sketch(columns: int):
                     total[k + 1] += np.bincount(bucket, weights=signs[k][owner], minlength=_D).astype(np.int64)
                 passages += n
         if passages:
-            sums = np.concatenate([total.ravel(), [passages]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["doc_id", "payload"])
+            blobs = [x.astype(np.int32).tobytes() for x in total] + [np.array([passages], dtype=np.int32).tobytes()]
+            parts = np.array([*range(len(total)), -1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(parts), pa.array(blobs, pa.binary())], names=["doc_id", "part", "payload"])
 
     return run
 
@@ -97,23 +102,24 @@ def _passages(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (words & np.uint32(_D - 1)).astype(np.int64), owner, int(count.sum())
 
 
-def _sum(dtype: str):
+def _sum(dtype: str, out: str):
     def run(table: pa.Table) -> pa.Table:
-        total = None
+        total: np.ndarray | None = None
         for x in table.column("payload"):
             own = np.frombuffer(x.as_buffer(), dtype=dtype)
-            total = own.copy() if total is None else total + own
-        return pa.table({"payload": pa.array([total.tobytes()], pa.binary())})
+            total = own.astype(out) if total is None else total + own
+        return pa.table({"part": table.column("part").slice(0, 1), "payload": pa.array([b"" if total is None else total.tobytes()], pa.binary())})
 
     return run
 
 
-def tree_sum(rows: DataFrame, dtype: str, lanes: int = 32) -> np.ndarray | None:
-    """Sum of arrays, one a row in column payload, added up on executors in two levels; the driver sees a single one."""
+def tree_sum(rows: DataFrame, dtype: str, out: str) -> dict[int, np.ndarray]:
+    """Sums of arrays (part, payload) by part, added up on executors in two levels of about the root of the number of tasks each."""
+    lanes = int(rows.rdd.getNumPartitions() ** 0.5) + 1
     lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
-    sums = rows.select(lane, "payload").groupBy("lane").applyInArrow(_sum(dtype), "payload binary")
-    total = sums.withColumn("lane", F.lit(0)).groupBy("lane").applyInArrow(_sum(dtype), "payload binary").collect()
-    return np.frombuffer(bytes(total[0].payload), dtype=dtype) if total else None
+    first = rows.select(lane, "part", "payload").groupBy("part", "lane").applyInArrow(_sum(dtype, out), "part int, payload binary")
+    total = first.groupBy("part").applyInArrow(_sum(out, out), "part int, payload binary").collect()
+    return {x.part: np.frombuffer(bytes(x.payload), dtype=out) for x in total}
 
 
 class Embedder:
@@ -171,7 +177,7 @@ def _gram(vectors):
                 total = total + (p.T @ p).astype(np.float64)
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total).tobytes()], pa.binary())], names=["payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary())], names=["part", "payload"])
 
     return run
 
@@ -179,20 +185,90 @@ def _gram(vectors):
 def latent_vectors(spark: SparkSession, hashed: DataFrame, p: Params) -> np.ndarray | None:
     """Word vectors (buckets by rank) of the whitened latent space, or None for a corpus without words."""
     width = p.rank + p.oversample
-    sums = tree_sum(hashed.where("doc_id is null").select("payload"), "int64")
-    if sums is None:
+    sums = tree_sum(hashed.where("part is not null").select("part", "payload"), "int32", "int64")
+    if not sums:
         return None
-    df, sketch, n = sums[:_D], sums[_D:-1].reshape(width, _D), float(sums[-1])
+    df, sketch, n = sums[0], np.stack([sums[k + 1] for k in range(width)]), float(sums[-1][0])
     idf = np.where(df > 0, np.log(1.0 + n / np.maximum(df, 1)), 0.0)
     q, _ = np.linalg.qr((sketch * idf).T)
     held = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
-    gram = tree_sum(hashed.where("doc_id is not null").mapInArrow(_gram(held), "payload binary"), "float64").reshape(width, width)
+    gram = tree_sum(hashed.where("part is null").mapInArrow(_gram(held), "part int, payload binary"), "float64", "float64")[0].reshape(width, width)
     value, vector = np.linalg.eigh(gram / n)
     top = np.argsort(-value)[: p.rank]
     top = top[value[top] > 1e-9 * value[top[0]]]
     return (q * idf[:, None]) @ (vector[:, top] / np.sqrt(value[top]))
 
 
+class Patterns:
+    """Word sequences, ready to be matched with many stretches of text at once.
+
+    In blocks, each word of the block's vocabulary has a bit mask of its places
+    in each sequence, 64 places a table.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], block: int = 128):
+        self.sequences, self.block = sequences, block
+        self.size = np.array([len(x) for x in sequences], dtype=np.int64)
+        self.blocks: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        for a in range(0, len(sequences), block):
+            own = sequences[a : a + block]
+            vocabulary = np.unique(np.concatenate(own))
+            tables = [np.zeros((len(own), len(vocabulary) + 1), dtype=np.uint64) for _ in range(-(-max(map(len, own)) // 64))]
+            for k, x in enumerate(own):
+                at = np.searchsorted(vocabulary, x)
+                for t, table in enumerate(tables):
+                    here = at[64 * t : 64 * (t + 1)]
+                    np.bitwise_or.at(table[k], here, np.uint64(1) << np.arange(len(here), dtype=np.uint64))
+            self.blocks.append((vocabulary, tables))
+
+    def lcs(self, owner: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray, least: float = 0.0) -> np.ndarray:
+        """Lengths of the longest common subsequences of sequence owner[i] and words[start[i]:stop[i]].
+
+        Where the places whose word occurs at all are fewer than the share
+        `least` of a sequence, their number is returned, which is no less than
+        the length and settles that it is too short.
+        """
+        out = np.zeros(len(owner), dtype=np.int64)
+        for b in np.unique(owner // self.block):
+            vocabulary, tables = self.blocks[b]
+            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            ids = np.where(vocabulary[at] == words, at, len(vocabulary))
+            ids = np.append(ids, len(vocabulary))
+            mine = np.flatnonzero(owner // self.block == b)
+            for i in range(0, len(mine), 2048):
+                some = mine[i : i + 2048]
+                out[some] = self._match(b, tables, ids, words, owner[some], start[some], stop[some], least)
+        return out
+
+    def _match(self, b: int, tables: list[np.ndarray], ids: np.ndarray, words: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, least: float) -> np.ndarray:
+        width = int(max((stop - start).max(), 1))
+        place = start[:, None] + np.arange(width)
+        own = ids[np.where(place < stop[:, None], place, len(ids) - 1)]
+        row = (owner - b * self.block)[:, None]
+        masks = tables[0][row, own]
+        out = np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)).astype(np.int64)
+        for table in tables[1:]:
+            out += np.bitwise_count(np.bitwise_or.reduce(table[row, own], axis=1))
+        good = out >= least * self.size[owner] - 1e-9
+        short = np.flatnonzero(good & (self.size[owner] <= 64))
+        if len(short):
+            out[short] = _bit_lcs(masks[short], self.size[owner[short]])
+        for k in np.flatnonzero(good & (self.size[owner] > 64)):
+            out[k] = _lcs_long(self.sequences[owner[k]], words[start[k] : stop[k]])
+        return out
+
+
+def _bit_lcs(masks: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Longest common subsequences from the masks of the words of each row, bit-parallel over the rows."""
+    v = np.full(len(masks), np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for m in np.ascontiguousarray(masks.T):
+            u = v & m
+            v = (v + u) | (v - u)
+    inside = np.where(size == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(size, 63).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~v & inside).astype(np.int64)
+
+
 @dataclass
 class Items:
     """Benchmark items ready for the search, all of one window size."""
@@ -201,8 +277,8 @@ class Items:
     vectors: np.ndarray  # of pieces of items, normalised
     piece_of: np.ndarray
     window: int
-    words: list[np.ndarray]
-    answers: list[np.ndarray]
+    words: Patterns
+    answers: Patterns
 
 
 def _window(n: int) -> int:
@@ -228,45 +304,7 @@ def prepare_items(rows: list[tuple[int, str, str | None]], vectors: np.ndarray,
                 v = vectors[part & np.uint32(_D - 1)].sum(axis=0)
                 pieces.append(v / (np.linalg.norm(v) or 1.0))
                 of.append(k)
-        out.append(Items(np.array([x[0] for x in own], dtype=np.int64), np.array(pieces, dtype=np.float32), np.array(of), window, [x[1] for x in own], [x[2] for x in own]))
-    return out
-
-
-def lcs(pattern: list[np.ndarray], owner: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of pattern[owner[i]] and words[start[i]:stop[i]], bit-parallel over all i."""
-    out = np.zeros(len(owner), dtype=np.int64)
-    long = np.array([len(x) > 64 for x in pattern])[owner] if len(owner) else np.zeros(0, dtype=bool)
-    for i in np.flatnonzero(long):
-        out[i] = _lcs_long(pattern[owner[i]], words[start[i] : stop[i]])
-    short = np.flatnonzero(~long)
-    if not len(short):
-        return out
-    owner, start, stop = owner[short], start[short], stop[short]
-    used = np.unique(owner)
-    keys, bits = [], []
-    for k in used:
-        value, inverse = np.unique(pattern[k], return_inverse=True)
-        mask = np.zeros(len(value), dtype=np.uint64)
-        np.bitwise_or.at(mask, inverse, np.uint64(1) << np.arange(len(pattern[k]), dtype=np.uint64))
-        keys.append((np.uint64(k) << np.uint64(32)) | value.astype(np.uint64))
-        bits.append(mask)
-    key, mask = np.concatenate(keys), np.concatenate(bits)  # ascending, since owners and values are
-    v = np.full(len(owner), np.uint64(0xFFFFFFFFFFFFFFFF))
-    high = owner.astype(np.uint64) << np.uint64(32)
-    length = stop - start
-    for t in range(int(length.max())):
-        live = t < length
-        probe = high | words[np.minimum(start + t, len(words) - 1)]
-        at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
-        m = np.where(live & (key[at] == probe), mask[at], np.uint64(0))
-        if not m.any():
-            continue
-        with np.errstate(over="ignore"):
-            u = v & m
-            v = (v + u) | (v - u)
-    size = np.array([len(x) for x in pattern])[owner]
-    inside = np.where(size == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(size, 63).astype(np.uint64)) - np.uint64(1))
-    out[short] = np.bitwise_count(~v & inside)
+        out.append(Items(np.array([x[0] for x in own], dtype=np.int64), np.array(pieces, dtype=np.float32), np.array(of), window, Patterns([x[1] for x in own]), Patterns([x[2] for x in own])))
     return out
 
 
@@ -337,14 +375,12 @@ def _matches(g: Items, sums: np.ndarray, ids: np.ndarray, words: np.ndarray, at:
     if not len(doc):
         return None
     # a pair is as good as its best window
-    n = np.array([len(x) for x in g.words])[item]
-    common = lcs(g.words, item, words, start, stop)
-    share = common / n
+    share = g.words.lcs(item, words, start, stop, p.likely) / g.words.size[item]
     close = np.flatnonzero(share >= p.likely)
     answer = np.zeros(len(doc), dtype=bool)
     if len(close):
-        found = lcs(g.answers, item[close], words, start[close], stop[close])
-        answer[close] = found >= p.answer_found * np.array([len(x) for x in g.answers])[item[close]]
+        found = g.answers.lcs(item[close], words, start[close], stop[close], p.answer_found)
+        answer[close] = found >= p.answer_found * g.answers.size[item[close]]
     hit = np.flatnonzero((share >= p.certain) | ((share >= p.likely) & answer))
     if not len(hit):
         return None
@@ -369,7 +405,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     p, spark = params, docs.sparkSession
     kind = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    hashed = save(own.mapInArrow(_hash_and_sketch(p.rank + p.oversample), "doc_id long, payload binary"), "words")
+    hashed = save(own.mapInArrow(_hash_and_sketch(p.rank + p.oversample), "doc_id long, part int, payload binary"), "words")
     vectors = latent_vectors(spark, hashed, p)
     answer = F.col(answer_col).cast("string") if answer_col in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"), answer.alias("answer")).where("item_id is not null and text is not null")
@@ -377,7 +413,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     if vectors is None:
         return out
     held = spark.sparkContext.broadcast(vectors.astype(np.float32))
-    words = hashed.where("doc_id is not null")
+    words = hashed.where("part is null")
 
     def find(rows: list[tuple[int, str, str | None]]) -> DataFrame | None:
         groups = prepare_items(rows, vectors, p)

@@ -92,7 +92,7 @@ def test_lcs_kernel_against_the_textbook():
     owner = rng.integers(0, 5, 60)
     start = rng.integers(0, 380, 60)
     stop = start + rng.integers(0, 20, 60)
-    got = decontam.lcs(patterns, owner, words, start, np.minimum(stop, 400))
+    got = decontam.Patterns(patterns, block=2).lcs(owner, words, start, np.minimum(stop, 400))
     assert got.tolist() == [lcs(patterns[o].tolist(), words[a : min(b, 400)].tolist()) for o, a, b in zip(owner, start, stop, strict=True)]
 
 
