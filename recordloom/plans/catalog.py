@@ -565,11 +565,9 @@ def text_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT 'added' AS status, count(*) AS count FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'modified', count(*) FROM supplier WHERE s_suppkey % 2 = 1")
 def store_commit_and_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     from recordloom.store import Store
 
-    store = Store(spark, tempfile.mkdtemp(prefix="recordloom-store-"))
+    store = Store(spark, _scratch(spark, "store"))
     supplier = _t(spark, sf_dir, "supplier")
     with store.transact("Declare suppliers") as tx:
         tx.write_config("suppliers", {"path": "${{ s_nationkey }}/${{ s_suppkey }}"})
@@ -582,11 +580,9 @@ def store_commit_and_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
 def store_pruned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     from recordloom.store import Store
 
-    store = Store(spark, tempfile.mkdtemp(prefix="recordloom-store-"))
+    store = Store(spark, _scratch(spark, "store"))
     with store.transact("Declare suppliers") as tx:
         tx.write_config("suppliers", {"path": "${{ s_nationkey }}/${{ s_suppkey }}"})
         tx.upsert("suppliers", _t(spark, sf_dir, "supplier"))

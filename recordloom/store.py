@@ -35,6 +35,7 @@ from recordloom.operators.diff import changes
 from recordloom.operators.normalize import join_path, mime_type
 from recordloom.operators.patch import merge_columns
 from recordloom.plans import config as cfg
+from recordloom.sources.fs import Files
 
 _TRAILER = re.compile(r"[A-Za-z][A-Za-z0-9-]*")
 _ATTACHMENTS = "_path string, name string, bytes binary, hash string"
@@ -76,11 +77,13 @@ class Store:
     _guard = threading.Lock()
 
     def __init__(self, spark: SparkSession, root: str, branch: str = "main", prefix: str = "", strict: bool = False, validators: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, author: str | None = None):
-        self.spark, self.root, self.branch, self.prefix, self.strict = spark, os.path.abspath(root), branch, prefix, strict
+        self.spark, self.branch, self.prefix, self.strict = spark, branch, prefix, strict
+        self.files = Files(spark, root)
+        self.root = self.files.root
         self.validators, self.author = dict(validators or {}), author
         self.hooks: list[Callable[[Commit], None]] = []
         for d in ("refs", "commits", "data"):
-            os.makedirs(os.path.join(self.root, d), exist_ok=True)
+            self.files.mkdirs(d)
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         self.head = self.read_ref(branch)
         self._indexes: dict[str, list[idx.Index]] = {}
@@ -92,22 +95,14 @@ class Store:
 
     # -- references and commits ----------------------------------------------
 
-    def _file(self, *parts: str) -> str:
-        return os.path.join(self.root, *parts)
+    def data(self, snapshot: str) -> str:
+        return self.files.at("data", snapshot)
 
     def read_ref(self, name: str) -> str | None:
-        try:
-            with open(self._file("refs", name)) as f:
-                return f.read().strip() or None
-        except FileNotFoundError:
-            return None
+        return (self.files.read("refs", name) or "").strip() or None
 
     def write_ref(self, name: str, commit: str) -> None:
-        at = self._file("refs", name)
-        part = f"{at}.{uuid.uuid4().hex}"
-        with open(part, "w") as f:
-            f.write(commit)
-        os.replace(part, at)
+        self.files.replace(commit, "refs", name)
 
     def commit(self, ref: str | None) -> Commit | None:
         """The commit of a reference or (the beginning of) a commit id; None for the empty tree."""
@@ -115,12 +110,13 @@ class Store:
             return None
         at = self.read_ref(ref) if "/" not in ref else None
         if at is None:
-            found = [f[:-5] for f in os.listdir(self._file("commits")) if f.startswith(ref)] if len(ref) >= 4 else []
+            found = [f[:-5] for f in self.files.names("commits") if f.startswith(ref) and f.endswith(".json")] if len(ref) >= 4 else []
             if len(found) != 1:
                 raise ReferenceError_(f"no commit or reference {ref!r}", "ref_not_found")
             at = found[0]
-        with open(self._file("commits", f"{at}.json")) as f:
-            d = json.load(f)
+        d = json.loads(self.files.read("commits", f"{at}.json") or "null")
+        if d is None:
+            raise ReferenceError_(f"no commit {at!r}", "ref_not_found")
         return Commit(**{**d, "trailers": tuple(map(tuple, d["trailers"]))})
 
     def log(self, ref: str | None = None) -> Iterator[Commit]:
@@ -168,15 +164,12 @@ class Store:
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
         """The only writer of this store; not to be taken twice."""
-        at = self._file("lock")
-        try:
-            os.close(os.open(at, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-        except FileExistsError:
-            raise TransactionError("the store is locked", "lock_held") from None
+        if not self.files.create(uuid.uuid4().hex, "lock"):
+            raise TransactionError("the store is locked", "lock_held")
         try:
             yield
         finally:
-            os.unlink(at)
+            self.files.delete("lock")
 
     @contextlib.contextmanager
     def transact(self, message: str = "Update records", author: str | None = None, trailers: Mapping[str, str] | Sequence[tuple[str, str]] = (), parent: str | None = None) -> Iterator[Transaction]:
@@ -208,10 +201,7 @@ class Store:
             now = self.read_ref(self.branch)
             if now != (base.id if base else None) and not moved_ok:
                 raise TransactionError("the reference has moved since the transaction began", "parent_moved")
-            at = self._file("commits", f"{own}.json")
-            with open(f"{at}.part", "w") as f:
-                json.dump({"id": own, **body}, f)
-            os.replace(f"{at}.part", at)
+            self.files.replace(json.dumps({"id": own, **body}), "commits", f"{own}.json")
             self.write_ref(self.branch, own)
         self.refresh()
         done = self.commit(own)
@@ -250,7 +240,7 @@ class Sheet:
             names = self.config.path.field_names()
             empty = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_path", T.StringType()), T.StructField("_blob", T.StringType())])
             return self.store.spark.createDataFrame([], empty)
-        df = self.store.spark.read.parquet(self.store._file("data", self.snapshot))
+        df = self.store.spark.read.parquet(self.store.data(self.snapshot))
         return df.drop(self.config.body) if self.config.body and not with_body else df
 
     def visible(self, df: DataFrame) -> DataFrame:
@@ -338,7 +328,7 @@ class Sheet:
     def attachments(self, path: str | None = None) -> DataFrame:
         """(_path, name, bytes, hash) of all records or of one."""
         at = self.commit.attachments.get(self.config.name) if self.commit else None
-        df = self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store._file("data", at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
+        df = self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store.data(at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
         return df if path is None else df.where(F.col("_path") == path)
 
     def attachment(self, path: str, name: str) -> tuple[bytes, str]:
@@ -414,24 +404,24 @@ class Transaction:
         out = wr.with_blob(rows)
         for p, c in zip(parts, columns, strict=False):
             out = out.withColumn(p, c)
-        temp = self.store._file("data", f"{name}-{uuid.uuid4().hex}")
+        temp = self.store.data(f"{name}-{uuid.uuid4().hex}")
         spread = out.repartition(*parts) if parts else out
         spread.sortWithinPartitions("_path").write.partitionBy(*parts).parquet(temp)
         back = self.store.spark.read.parquet(temp)
         n, mixed = back.agg(F.count("*"), F.sum(F.xxhash64("_path", "_blob").cast("decimal(38,0)"))).first()
         own = hashlib.sha1(f"{n}:{mixed}".encode()).hexdigest()[:16]
-        os.rename(temp, f"{temp}-{own}")
-        self.snapshots[name], self.hashes[name] = os.path.basename(f"{temp}-{own}"), own
+        self.store.files.rename(temp, f"{temp}-{own}")
+        self.snapshots[name], self.hashes[name] = f"{temp}-{own}".rsplit("/", 1)[-1], own
         self.mutated = True
 
     def stage_attachments(self, name: str, rows: DataFrame) -> None:
         self._open()
-        temp = self.store._file("data", f"{name}-attachments-{uuid.uuid4().hex}")
+        temp = self.store.data(f"{name}-attachments-{uuid.uuid4().hex}")
         rows.select("_path", "name", "bytes", "hash").write.parquet(temp)
         mixed = self.store.spark.read.parquet(temp).agg(F.sum(F.xxhash64("_path", "name", "hash").cast("decimal(38,0)"))).first()[0]
         own = hashlib.sha1(str(mixed).encode()).hexdigest()[:16]
-        os.rename(temp, f"{temp}-{own}")
-        self.attachments[name], self.attachment_hashes[name] = os.path.basename(f"{temp}-{own}"), own
+        self.store.files.rename(temp, f"{temp}-{own}")
+        self.attachments[name], self.attachment_hashes[name] = f"{temp}-{own}".rsplit("/", 1)[-1], own
         self.mutated = True
 
     def _checked(self, name: str, batch: DataFrame) -> tuple[cfg.SheetConfig, DataFrame, dict | None]:
@@ -529,7 +519,7 @@ class Transaction:
 
     def _attachments(self, name: str) -> DataFrame:
         at = self.attachments.get(name)
-        return self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store._file("data", at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
+        return self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store.data(at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
 
     def _cascade(self, name: str) -> None:
         if name in self.attachments:
