@@ -131,6 +131,16 @@ class Store:
         self.head = self.read_ref(self.branch)
         self._drop_built()
 
+    def drift(self) -> dict[str, list[str]]:
+        """Sheets with records that break a contract they implement, with the codes of the issues: for a look after refresh()."""
+        out = {}
+        for name, sheet in self.sheets().items():
+            if sheet.config.implements:
+                codes = [r.code for r in sheet.issues().select("code").distinct().orderBy("code").collect()]
+                if codes:
+                    out[name] = codes
+        return out
+
     def _drop_built(self) -> None:
         for df in self._built.values():
             df.unpersist()
@@ -295,6 +305,40 @@ class Sheet:
         df = self.visible(self.records())
         return val.issues(df, schema if schema else {})
 
+    def path_for(self, record: Mapping[str, Any]) -> str:
+        """Path that a record would have."""
+        return self.config.path.render_record(record)
+
+    # -- writes outside of a transaction: one commit each -----------------------------
+
+    @contextlib.contextmanager
+    def _auto(self, what: str) -> Iterator[Transaction]:
+        if self.store.strict:
+            raise TransactionError("writes need a transaction", "write_outside_transaction")
+        with self.store.transact(f"{self.config.name}: {what}") as tx:
+            yield tx
+        self.commit = self.store.commit(self.store.head)
+
+    def upsert(self, batch: DataFrame, delete_missing: bool = False) -> DataFrame:
+        with self._auto("upsert") as tx:
+            return tx.upsert(self.config.name, batch, delete_missing)
+
+    def patch(self, criteria: Mapping[str, Any], patch: Mapping[str, Any]) -> str:
+        with self._auto("patch") as tx:
+            return tx.patch(self.config.name, criteria, patch)
+
+    def delete(self, path: str) -> None:
+        with self._auto(f"delete {path}") as tx:
+            tx.delete(self.config.name, path)
+
+    def clear(self) -> None:
+        with self._auto("clear") as tx:
+            tx.clear(self.config.name)
+
+    def will_change(self, batch: DataFrame) -> DataFrame:
+        """(_path, _category) that an upsert of the batch would have."""
+        return wr.will_change(self.visible(self.records()), batch, self.config.path, self.effective_schema(), self.config.sort)
+
     # -- indexes ------------------------------------------------------------------
 
     def define_index(self, name: str, key: idx.Key, unique: bool = False, eager: bool = False) -> None:
