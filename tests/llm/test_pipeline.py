@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from recordloom.llm import queries
-from tests.llm.helpers import prose
+from tests.llm.helpers import empty, hard, prose
 from tests.llm.test_dedup import brute_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -86,3 +86,26 @@ def test_queries_are_registered():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_hard_and_empty_tables(spark, tables, tmp_path, name):
+    at, _, _ = tables
+    for k, frame in enumerate((hard(spark), empty(spark))):
+        frame.write.parquet(f"{tmp_path}/{k}")
+        out = dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{tmp_path}/{k}"), at)
+        rows = out.collect()
+        if k:
+            assert rows == []
+        elif name == "best_fit_packing":
+            assert {r.doc_id for r in rows} == {2, 3, 4, 5, 6, 7, 8, 9, 10, 11}
+        else:
+            assert out.columns == frame.columns
+            ids = sorted(r.doc_id for r in rows if r.doc_id is not None)
+            want = {
+                "quality_classifier": None,
+                "exact_dedup": [1, 2, 3, 4, 5, 7, 9, 10, 11],
+                "minhash_near_dedup": [1, 2, 3, 4, 5, 7, 8, 9, 10, 11],
+                "benchmark_decontamination": [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10, 11],
+            }[name]
+            assert ids == want if want else not {1, 2, 3} & set(ids)
