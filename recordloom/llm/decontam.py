@@ -55,10 +55,21 @@ def _pack(docs_id: pa.Array, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([docs_id, pa.nulls(len(docs_id), pa.int32()), blobs], names=["doc_id", "part", "payload"])
 
 
+#: Two columns of signs are summed as one number: the second one counts in units of this.
+_UNIT = float(1 << 26)
+
+
 def _signs(n: int, seed: int, columns: int) -> np.ndarray:
-    """Random signs of n passages, columns by n."""
-    bits = np.random.default_rng(seed & (2**63 - 1)).integers(0, 2, size=(columns, n), dtype=np.int8)
-    return (2 * bits - 1).astype(np.float64)
+    """Random signs of n passages, two columns in one number: (columns / 2) by n."""
+    bits = np.random.default_rng(seed & (2**63 - 1)).integers(0, 2, size=(columns // 2, 2, n), dtype=np.int8)
+    signs = (2 * bits - 1).astype(np.float64)
+    return signs[:, 0] + _UNIT * signs[:, 1]
+
+
+def _unpack(total: np.ndarray) -> np.ndarray:
+    """Sums of both columns of each number, exact below 2^25 words."""
+    second = np.round(total / _UNIT)
+    return np.stack([total - second * _UNIT, second], axis=1).reshape(-1, total.shape[1]).astype(np.int64)
 
 
 def _hash_and_sketch(columns: int):
@@ -69,8 +80,8 @@ def _hash_and_sketch(columns: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((columns + 1, _D), dtype=np.int64)
-        passages = 0
+        total, packed = np.zeros((columns + 1, _D), dtype=np.int64), np.zeros((columns // 2, _D))
+        passages = held = 0
         for batch in batches:
             column = T.as_large(batch.column("text"))
             for i, j in T.pieces(column):
@@ -79,13 +90,19 @@ def _hash_and_sketch(columns: int):
                 if not len(h):
                     continue
                 bucket, owner, n = _passages(h.astype(np.uint32), at)
+                held += len(h)
+                if held >= 1 << 25:
+                    total[1:] += _unpack(packed)
+                    packed[:], held = 0.0, len(h)
                 seen = np.unique(owner.astype(np.int64) * _D + bucket)
                 total[0] += np.bincount(seen % _D, minlength=_D)
                 signs = _signs(n, int(h[0]) ^ int(h[-1]) ^ len(h), columns)
-                for k in range(columns):
-                    total[k + 1] += np.bincount(bucket, weights=signs[k][owner], minlength=_D).astype(np.int64)
+                sizes = np.bincount(owner, minlength=n)
+                for k, own in enumerate(signs):
+                    packed[k] += np.bincount(bucket, weights=np.repeat(own, sizes), minlength=_D)
                 passages += n
         if passages:
+            total[1:] += _unpack(packed)
             blobs = [x.astype(np.int32).tobytes() for x in total] + [np.array([passages], dtype=np.int32).tobytes()]
             parts = np.array([*range(len(total)), -1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.array(parts), pa.array(blobs, pa.binary())], names=["doc_id", "part", "payload"])
@@ -231,24 +248,32 @@ class Patterns:
         out = np.zeros(len(owner), dtype=np.int64)
         for b in np.unique(owner // self.block):
             vocabulary, tables = self.blocks[b]
-            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            ids = np.where(vocabulary[at] == words, at, len(vocabulary))
-            ids = np.append(ids, len(vocabulary))
             mine = np.flatnonzero(owner // self.block == b)
+            first = start[mine]
+            text = words
+            if int((stop[mine] - first).sum()) < len(words) // 2:  # few stretches: look up their words only
+                text = np.concatenate([words[x:y] for x, y in zip(first, stop[mine], strict=True)])
+                first = np.cumsum(stop[mine] - first) - (stop[mine] - first)
+            last = first + (stop[mine] - start[mine])
+            at = np.minimum(np.searchsorted(vocabulary, text), len(vocabulary) - 1)
+            ids = np.where(vocabulary[at] == text, at, len(vocabulary)).astype(np.int32)
             for i in range(0, len(mine), 2048):
-                some = mine[i : i + 2048]
-                out[some] = self._match(b, tables, ids, words, owner[some], start[some], stop[some], least)
+                j = slice(i, i + 2048)
+                out[mine[j]] = self._match(b, tables, ids, text, owner[mine[j]], first[j], last[j], least)
         return out
 
     def _match(self, b: int, tables: list[np.ndarray], ids: np.ndarray, words: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, least: float) -> np.ndarray:
-        width = int(max((stop - start).max(), 1))
-        place = start[:, None] + np.arange(width)
-        own = ids[np.where(place < stop[:, None], place, len(ids) - 1)]
-        row = (owner - b * self.block)[:, None]
-        masks = tables[0][row, own]
+        length = stop - start
+        width = int(max(length.max(), 1))
+        none = tables[0].shape[1] - 1
+        own = np.lib.stride_tricks.sliding_window_view(np.append(ids, np.full(width, none, dtype=ids.dtype)), width)[start]
+        if length.min() < width:
+            own[np.arange(width) >= length[:, None]] = none
+        own += ((owner - b * self.block) * (none + 1)).astype(ids.dtype)[:, None]
+        masks = tables[0].take(own)
         out = np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)).astype(np.int64)
         for table in tables[1:]:
-            out += np.bitwise_count(np.bitwise_or.reduce(table[row, own], axis=1))
+            out += np.bitwise_count(np.bitwise_or.reduce(table.take(own), axis=1))
         good = out >= least * self.size[owner] - 1e-9
         short = np.flatnonzero(good & (self.size[owner] <= 64))
         if len(short):
