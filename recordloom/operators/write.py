@@ -31,21 +31,24 @@ def with_blob(df: DataFrame) -> DataFrame:
     return df if "_blob" in df.columns else df.withColumn("_blob", F.sha2(canonical_json(df), 256))
 
 
-def prepare(batch: DataFrame, template: Template, schema: Mapping | None = None, rules: Mapping | None = None) -> DataFrame:
+def prepare(batch: DataFrame, template: Template, schema: Mapping | None = None, rules: Mapping | None = None, previous: str | None = None) -> DataFrame:
     """A batch, normalised, with _path, _blob and its issues (of the path and of the schema).
 
+    previous names a column that is no field of the records.
+
     Of several rows of one path, all are kept; upsert_plan() takes the last.
     """
     code = template.render_issues(batch)
     path_issue = F.when(code.isNotNull(), F.struct(F.lit("").alias("path"), F.lit("#").alias("schema_path"), code.alias("code"), F.lit("the record has no legal path").alias("message")))
-    found = issues_column(batch, schema) if schema else F.array().cast(f"array<{ISSUE}>")
+    own = (*_META, *([previous] if previous else []))
+    found = issues_column(batch, schema, own) if schema else F.array().cast(f"array<{ISSUE}>")
     issues = F.concat(F.array_compact(F.array(path_issue)).cast(f"array<{ISSUE}>"), found)
     marked = batch.withColumn("__issues", issues).withColumn("__to", template.render(batch))
     out = marked
     for field, rule in (rules or {}).items():
         if field in out.columns:
             out = out.withColumn(field, sorted_list(out, field, rule))
-    blob = F.sha2(canonical_json(out, (*_META, "__issues", "__to")), 256)
+    blob = F.sha2(canonical_json(out, (*own, "__issues", "__to")), 256)
     return out.withColumn("_blob", blob).withColumnRenamed("__to", "_path").withColumnRenamed("__issues", "_issues")
 
 
@@ -100,7 +103,7 @@ def apply_upsert(existing: DataFrame, plan: DataFrame, delete_missing: bool = Fa
 
 def upsert(existing: DataFrame, batch: DataFrame, template: Template, schema: Mapping | None = None, rules: Mapping | None = None, delete_missing: bool = False, previous: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(table after the batch, plan). Any invalid row stops it before anything is written."""
-    plan = upsert_plan(existing, prepare(batch, template, schema, rules))
+    plan = upsert_plan(existing, prepare(batch, template, schema, rules, previous))
     require_valid(plan)
     return apply_upsert(existing, plan, delete_missing, previous), plan
 

@@ -1,10 +1,12 @@
 """The store: sheets, immutable snapshots, a commit log, references and transactions.
 
-Records of a sheet live as Parquet, one directory for each snapshot, partitioned
-by the leading components of the path template.  A commit is a small JSON file
-that maps sheets to snapshots; a reference is a file that holds a commit id and
-is replaced in one step, so readers always see a whole commit and a writer that
-lost a race is told so.
+Records of a sheet live as Parquet, partitioned by the leading components of the
+path template.  A snapshot is a list of directories, each without the partitions
+that a later one replaces: a write that touches few partitions writes those only,
+and every few writes the whole sheet is written again as one directory.  A commit
+is a small JSON file that maps sheets to snapshots; a reference is a file that
+holds a commit id and is replaced in one step, so readers always see a whole
+commit and a writer that lost a race is told so.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.errors import ConfigError, NotFoundError, ReferenceError_, TransactionError
+from recordloom.errors import ConfigError, IndexError_, NotFoundError, ReferenceError_, TransactionError
 from recordloom.operators import filters as flt
 from recordloom.operators import index as idx
 from recordloom.operators import validate as val
@@ -35,11 +37,45 @@ from recordloom.operators.diff import changes
 from recordloom.operators.normalize import join_path, mime_type
 from recordloom.operators.patch import merge_columns
 from recordloom.plans import config as cfg
+from recordloom.plans.template import Template
 from recordloom.sources.fs import Files
 
 _TRAILER = re.compile(r"[A-Za-z][A-Za-z0-9-]*")
 _ATTACHMENTS = "_path string, name string, bytes binary, hash string"
 _EMPTY = hashlib.sha1(b"tree 0\0").hexdigest()
+#: Directories of a snapshot, and partitions replaced by one write, beyond which the whole sheet is written.
+MAX_BASES, MAX_TOUCHED = 8, 2000
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """Directories with the partitions that later ones replace, and the number and the sum of hashes of all records."""
+
+    bases: tuple[tuple[str, tuple[str, ...]], ...]
+    rows: int
+    mix: int
+
+    @property
+    def id(self) -> str:
+        return f"{self.rows}-{self.mix % 2**64:016x}"
+
+    def text(self) -> str:
+        return json.dumps({"bases": self.bases, "rows": self.rows, "mix": self.mix})
+
+    @staticmethod
+    def of(text: str) -> Snapshot:
+        d = json.loads(text)
+        return Snapshot(tuple((b, tuple(w)) for b, w in d["bases"]), d["rows"], d["mix"])
+
+
+def _sums(df: DataFrame) -> tuple[int, int]:
+    n, mix = df.agg(F.count("*"), F.sum(F.xxhash64("_path", "_blob").cast("decimal(38,0)"))).first()
+    return n, int(mix or 0)
+
+
+def _partition_key(template: Template) -> Column:
+    """Partition of a record by its path: the leading components, joined."""
+    return F.substring_index("_path", "/", len(template.components) - 1)
 
 
 @dataclass(frozen=True)
@@ -98,6 +134,18 @@ class Store:
     def data(self, snapshot: str) -> str:
         return self.files.at("data", snapshot)
 
+    def read_snapshot(self, snapshot: Snapshot, template: Template) -> DataFrame:
+        """Records of a snapshot; replaced partitions are pruned by partition filters."""
+        parts = template.partition_names()
+        out: DataFrame | None = None
+        for base, without in snapshot.bases:
+            df = self.spark.read.parquet(self.data(base))
+            if without:
+                df = df.where(~F.concat_ws("/", *parts).isin(list(without)))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        assert out is not None
+        return out
+
     def read_ref(self, name: str) -> str | None:
         return (self.files.read("refs", name) or "").strip() or None
 
@@ -250,7 +298,7 @@ class Sheet:
             names = self.config.path.field_names()
             empty = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_path", T.StringType()), T.StructField("_blob", T.StringType())])
             return self.store.spark.createDataFrame([], empty)
-        df = self.store.spark.read.parquet(self.store.data(self.snapshot))
+        df = self.store.read_snapshot(Snapshot.of(self.snapshot), self.config.path)
         return df.drop(self.config.body) if self.config.body and not with_body else df
 
     def visible(self, df: DataFrame) -> DataFrame:
@@ -404,7 +452,7 @@ class Transaction:
     def __post_init__(self) -> None:
         if self.base:
             self.snapshots, self.attachments, self.configs = dict(self.base.sheets), dict(self.base.attachments), dict(self.base.configs)
-        self.hashes = {k: v.rsplit("-", 1)[-1] for k, v in self.snapshots.items()}
+        self.hashes = {k: Snapshot.of(v).id for k, v in self.snapshots.items()}
         self.attachment_hashes = {k: v.rsplit("-", 1)[-1] for k, v in self.attachments.items()}
 
     def _open(self) -> None:
@@ -433,14 +481,30 @@ class Transaction:
             raise ConfigError(f"no sheet {name!r} is declared", "config_missing")
         return cfg.parse(name, self.configs[name])
 
-    def records(self, name: str) -> DataFrame:
-        """The sheet as the transaction has it now."""
+    def _sheet(self, name: str) -> Sheet:
         sheet = Sheet(self.store, self._config(name))
         sheet.commit = Commit("", None, self.snapshots, self.attachments, self.configs, "", "", 0.0, "")
-        return sheet.visible(sheet.records())
+        return sheet
+
+    def records(self, name: str, partitions: Sequence[str] | None = None) -> DataFrame:
+        """The sheet as the transaction has it now, or some partitions of it."""
+        sheet = self._sheet(name)
+        df = sheet.records()
+        parts = [p for p in sheet.config.path.partition_names() if p in df.columns]
+        if partitions is not None and parts:
+            df = df.where(F.concat_ws("/", *parts).isin(list(partitions)))
+        return sheet.visible(df)
+
+    def touched(self, name: str, keys: DataFrame) -> list[str] | None:
+        """Distinct partitions in the single column of keys, or None where the whole sheet has to be written."""
+        now = self.snapshots.get(name)
+        if now is None or not self._config(name).path.partition_names() or len(Snapshot.of(now).bases) >= MAX_BASES:
+            return None
+        found = [r[0] for r in keys.where(keys[keys.columns[0]].isNotNull()).distinct().limit(MAX_TOUCHED + 1).collect()]
+        return found if len(found) <= MAX_TOUCHED else None
 
-    def stage(self, name: str, rows: DataFrame) -> None:
-        """Write a whole sheet as a new snapshot. The name of the snapshot ends in a hash of its content."""
+    def stage(self, name: str, rows: DataFrame, partitions: Sequence[str] | None = None) -> None:
+        """Write a sheet, or with partitions only those, of which rows has all records."""
         self._open()
         config = self._config(name)
         parts = config.path.partition_names()
@@ -448,14 +512,17 @@ class Transaction:
         out = wr.with_blob(rows)
         for p, c in zip(parts, columns, strict=False):
             out = out.withColumn(p, c)
-        temp = self.store.data(f"{name}-{uuid.uuid4().hex}")
-        spread = out.repartition(*parts) if parts else out
-        spread.sortWithinPartitions("_path").write.partitionBy(*parts).parquet(temp)
-        back = self.store.spark.read.parquet(temp)
-        n, mixed = back.agg(F.count("*"), F.sum(F.xxhash64("_path", "_blob").cast("decimal(38,0)"))).first()
-        own = hashlib.sha1(f"{n}:{mixed}".encode()).hexdigest()[:16]
-        self.store.files.rename(temp, f"{temp}-{own}")
-        self.snapshots[name], self.hashes[name] = f"{temp}-{own}".rsplit("/", 1)[-1], own
+        base = f"{name}-{uuid.uuid4().hex}"
+        out.hint("rebalance", *parts).sortWithinPartitions(*parts, "_path").write.partitionBy(*parts).parquet(self.store.data(base))
+        n, mix = _sums(self.store.spark.read.schema("_path string, _blob string").parquet(self.store.data(base)))
+        bases: list[tuple[str, tuple[str, ...]]] = []
+        if partitions is not None:
+            old = Snapshot.of(self.snapshots[name])
+            gone_n, gone_mix = _sums(self.records(name, partitions))
+            n, mix = old.rows - gone_n + n, old.mix - gone_mix + mix
+            bases = [(b, tuple(sorted({*w, *partitions}))) for b, w in old.bases]
+        snapshot = Snapshot((*bases, (base, ())), n, mix)
+        self.snapshots[name], self.hashes[name] = snapshot.text(), snapshot.id
         self.mutated = True
 
     def stage_attachments(self, name: str, rows: DataFrame) -> None:
@@ -482,21 +549,30 @@ class Transaction:
         config, batch, schema = self._checked(name, batch)
         if config.body and config.body not in batch.columns:
             raise ConfigError(f"records of {name!r} need their body field {config.body!r}")
-        existing = self.records(name)
-        plan = wr.upsert_plan(existing, wr.prepare(batch, config.path, schema, config.sort)).cache()
+        prepared = wr.prepare(batch, config.path, schema, config.sort, previous).cache()
+        key = _partition_key(config.path)
+        near = None if delete_missing else self.touched(name, prepared.select(key))
+        existing = self.records(name, near)
+        plan = wr.upsert_plan(existing, prepared).cache()
         try:
             wr.require_valid(plan)
             for index in self.store._indexes.get(name, []):
-                if index.unique and (bad := wr_conflict(existing if not delete_missing else existing.limit(0), plan, index)):
-                    from recordloom.errors import IndexError_
-
+                whole = self.records(name)
+                if index.unique and (bad := wr_conflict(whole if not delete_missing else whole.limit(0), plan, index, previous)):
                     raise IndexError_(f"index {index.name!r}: key {bad['key']!r} of {bad['path']!r} belongs to {bad['owner']!r}", "index_unique_conflict")
             report = {r.category: r["count"] for r in wr.categories(plan).collect()}
             gone = wr.missing(existing, plan).count() if delete_missing else 0
             if report.get("insert") or report.get("changed") or gone or previous:
-                self.stage(name, wr.apply_upsert(existing, plan, delete_missing, previous))
+                written = plan.where("_category in ('insert', 'changed')") if not previous else plan
+                keys = written.select(key)
+                if previous:
+                    keys = keys.union(plan.select(F.substring_index(previous, "/", len(config.path.components) - 1)))
+                parts = None if delete_missing else self.touched(name, keys)
+                own = plan if parts is None else plan.where(key.isin(parts))
+                self.stage(name, wr.apply_upsert(self.records(name, parts), own, delete_missing, previous), parts)
         finally:
             plan.unpersist()
+            prepared.unpersist()
         rows = [*report.items(), *([("deleted", gone)] if delete_missing else [])]
         return self.store.spark.createDataFrame(rows, "category string, count bigint")
 
@@ -526,16 +602,17 @@ class Transaction:
     def delete(self, name: str, path: str) -> None:
         """Delete one record and its attachments."""
         one = self.store.spark.createDataFrame([(path,)], "_path string")
-        self.stage(name, wr.delete_paths(self.records(name), one, strict=True))
+        parts = self.touched(name, one.select(_partition_key(self._config(name).path)))
+        self.stage(name, wr.delete_paths(self.records(name, parts), one, strict=True), parts)
         self._cascade(name)
 
     def delete_where(self, name: str, clauses: Iterable[str]) -> int:
         """Delete the records that satisfy clauses; returns how many there were."""
-        existing = self.records(name)
-        left = wr.delete_where(existing, clauses)
-        n = existing.count() - left.count()
+        hit = flt.where(self.records(name), own := list(clauses))
+        n = hit.count()
         if n:
-            self.stage(name, left)
+            parts = self.touched(name, hit.select(_partition_key(self._config(name).path)))
+            self.stage(name, wr.delete_where(self.records(name, parts), own), parts)
             self._cascade(name)
         return n
 
@@ -590,7 +667,9 @@ class Transaction:
         return found
 
 
-def wr_conflict(existing: DataFrame, plan: DataFrame, index: idx.Index) -> Any:
-    """The first unique-key conflict of the rows that a plan writes, or None."""
+def wr_conflict(existing: DataFrame, plan: DataFrame, index: idx.Index, previous: str | None = None) -> Any:
+    """The first unique-key conflict of the rows that a plan writes, or None; records that move are no owners any more."""
     rows = plan.where("_category in ('insert', 'changed', 'no-op')")
+    if previous:
+        existing = existing.join(rows.select(F.col(previous).alias("_path")).distinct(), "_path", "left_anti")
     return idx.write_conflicts(existing, rows, index).orderBy("key", "path").head()

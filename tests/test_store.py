@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import ConfigError, ContractError, IndexError_, NotFoundError, ReferenceError_, TransactionError, ValidationError
 from recordloom.plans import contracts
-from recordloom.store import Store, check_trailers
+from recordloom.store import Snapshot, Store, check_trailers
 
 USERS = [("jane", "jane@x.org", "eng"), ("bob", "bob@x.org", "eng"), ("mia", "mia@x.org", "ops")]
 FIELDS = "slug string, email string, team string"
@@ -215,3 +215,47 @@ def test_contract_names_and_hashes():
         contracts.load({"contracts/x.org/a": '"$id"="https://x.org/a"'}, "x.org/a")
     with pytest.raises(ContractError):
         contracts.load({}, "x.org/a")
+
+
+def test_writes_touch_only_their_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("recordloom.store.MAX_BASES", 5)
+    s = Store(spark, str(tmp_path / "p"))
+    rows = [(f"d{k % 20}", f"n{k}", k) for k in range(200)]
+    with s.transact() as tx:
+        tx.write_config("people", {"path": "${{ domain }}/${{ name }}"})
+        tx.upsert("people", spark.createDataFrame(rows, "domain string, name string, n int"))
+    first = s.head
+    want = {(d, n): k for d, n, k in rows}
+
+    def now():
+        return {(r.domain, r.name): r.n for r in s.sheet("people").query().collect()}
+
+    def bases():
+        return Snapshot.of(s.sheet("people").snapshot).bases
+
+    with s.transact() as tx:
+        tx.upsert("people", spark.createDataFrame([("d3", "n3", -1), ("d3", "new", 7), ("d4", "n4", 4)], "domain string, name string, n int"))
+    want |= {("d3", "n3"): -1, ("d3", "new"): 7}
+    assert now() == want and len(bases()) == 2 and bases()[0][1] == ("d3",)
+    assert "PartitionFilters: [NOT" in s.sheet("people").records()._jdf.queryExecution().toString()
+    with s.transact() as tx:
+        tx.delete("people", "d5/n5")
+        assert tx.delete_where("people", ["n>=190", "domain!=d19"]) == 9
+        tx.patch("people", {"domain": "d6", "name": "n6"}, {"domain": "d7"})
+    del want["d5", "n5"], want["d6", "n6"]
+    want = {k: v for k, v in want.items() if v < 190 or k[0] == "d19"} | {("d7", "n6"): 6}
+    assert now() == want
+    assert {(r.path, r.status) for r in s.diff("people", first).collect()} >= {("d5/n5", "deleted"), ("d6/n6", "deleted"), ("d7/n6", "added"), ("d3/n3", "modified")}
+    for k in range(2):
+        with s.transact() as tx:
+            tx.upsert("people", spark.createDataFrame([("d1", "n1", 1000 + k)], "domain string, name string, n int"))
+        want["d1", "n1"] = 1000 + k
+        assert now() == want
+    assert len(bases()) <= 5
+    whole = Snapshot.of(s.sheet("people").snapshot)
+    with s.transact() as tx:
+        tx.upsert("people", s.sheet("people").query().drop("_path", "_blob"), delete_missing=True)
+    assert tx.result is None
+    with s.transact() as tx:
+        tx.stage("people", tx.records("people"))
+    assert tx.result is None and whole.rows == len(want)
