@@ -328,8 +328,8 @@ def _object(c: Column | None, fields: dict[str, tuple[Column, T.DataType]], sche
     return out
 
 
-def compiled(df: DataFrame, schema: Mapping, exclude: tuple[str, ...] = ("_path", "_sheet", "_blob")) -> Column | None:
-    """All issues of a record as one array column, or None where the schema needs the Python validator."""
+def _violations(df: DataFrame, schema: Mapping, exclude: tuple[str, ...]) -> tuple[list[Column], list[Column]] | None:
+    """Columns of single issues and of lists of issues, or None where the schema needs the Python validator."""
     fields = {f.name: (column_of(df, f.name), f.dataType) for f in df.schema.fields if f.name not in exclude}
 
     def top(s: Mapping, at: str) -> list[Column]:
@@ -353,11 +353,20 @@ def compiled(df: DataFrame, schema: Mapping, exclude: tuple[str, ...] = ("_path"
     except _Unsupported:
         return None
     if not parts:
-        return F.array().cast(f"array<{ISSUE}>")
+        return [], []
     kinds = df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).schema
     single = [p for p, f in zip(parts, kinds.fields, strict=True) if isinstance(f.dataType, T.StructType)]
-    lists = [F.coalesce(p, F.array().cast(f"array<{ISSUE}>")) for p, f in zip(parts, kinds.fields, strict=True) if isinstance(f.dataType, T.ArrayType)]
-    return F.concat(F.array_compact(F.array(*single)).cast(f"array<{ISSUE}>") if single else F.array().cast(f"array<{ISSUE}>"), *lists)
+    return single, [p for p, f in zip(parts, kinds.fields, strict=True) if isinstance(f.dataType, T.ArrayType)]
+
+
+def compiled(df: DataFrame, schema: Mapping, exclude: tuple[str, ...] = ("_path", "_sheet", "_blob")) -> Column | None:
+    """All issues of a record as one array column, or None where the schema needs the Python validator."""
+    found = _violations(df, schema, exclude)
+    if found is None:
+        return None
+    none = F.array().cast(f"array<{ISSUE}>")
+    single, lists = found
+    return F.concat(F.array_compact(F.array(*single)).cast(f"array<{ISSUE}>") if single else none, *[F.coalesce(x, none) for x in lists])
 
 
 def issues_column(df: DataFrame, schema: Mapping, exclude: tuple[str, ...] = ("_path", "_sheet", "_blob")) -> Column:
@@ -388,5 +397,11 @@ def valid(df: DataFrame, schema: Mapping) -> DataFrame:
 
 
 def issue_counts(df: DataFrame, schema: Mapping, key: str = "_path") -> DataFrame:
-    """(code, issues)."""
-    return issues(df, schema, key).groupBy("code").agg(F.count("*").alias("issues"))
+    """(code, issues). Where every issue is a single one, in one aggregation without making the issues."""
+    check_schema(schema)
+    found = _violations(df, schema, ("_path", "_sheet", "_blob"))
+    if found is None or found[1] or not found[0]:
+        return issues(df, schema, key).groupBy("code").agg(F.count("*").alias("issues"))
+    counts = df.agg(*[F.count(x["code"]).alias(f"n{k}") for k, x in enumerate(found[0])], *[F.max(x["code"]).alias(f"c{k}") for k, x in enumerate(found[0])])
+    each = counts.select(F.inline(F.array(*[F.struct(F.col(f"c{k}").alias("code"), F.col(f"n{k}").alias("n")) for k in range(len(found[0]))])))
+    return each.where("n > 0").groupBy("code").agg(F.sum("n").alias("issues"))

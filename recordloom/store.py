@@ -555,12 +555,13 @@ class Transaction:
         existing = self.records(name, near)
         plan = wr.upsert_plan(existing, prepared).cache()
         try:
-            wr.require_valid(plan)
+            report = {r.category: r["count"] for r in wr.categories(plan).collect()}
+            if report.get("invalid"):
+                wr.require_valid(plan)
             for index in self.store._indexes.get(name, []):
                 whole = self.records(name)
                 if index.unique and (bad := wr_conflict(whole if not delete_missing else whole.limit(0), plan, index, previous)):
                     raise IndexError_(f"index {index.name!r}: key {bad['key']!r} of {bad['path']!r} belongs to {bad['owner']!r}", "index_unique_conflict")
-            report = {r.category: r["count"] for r in wr.categories(plan).collect()}
             gone = wr.missing(existing, plan).count() if delete_missing else 0
             if report.get("insert") or report.get("changed") or gone or previous:
                 written = plan.where("_category in ('insert', 'changed')") if not previous else plan
