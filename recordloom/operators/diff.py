@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.operators.analytics import clamp_limit
-from recordloom.operators.patch import json_patch
+from recordloom.operators.patch import json_patch, pointer
 
 
 def fingerprint(df: DataFrame, exclude: Sequence[str] = ()) -> Column:
@@ -118,7 +118,7 @@ def field_changes(old: DataFrame, new: DataFrame, path: str = "_path") -> DataFr
         y = F.col(f"b_{c}") if c in new.columns else F.lit(None)
         kind = F.when(x.isNull() & y.isNotNull(), "add").when(x.isNotNull() & y.isNull(), "remove").when(x != y, "replace")
         value = F.get_json_object(F.to_json(F.struct(y.alias("v"))), "$.v")
-        ops.append(F.when(kind.isNotNull(), F.struct(kind.alias("op"), F.lit("/" + c.replace("~", "~0").replace("/", "~1")).alias("pointer"), value.alias("value"))))
+        ops.append(F.when(kind.isNotNull(), F.struct(kind.alias("op"), F.lit(pointer("", c)).alias("pointer"), value.alias("value"))))
     return a.join(b, path).select(F.col(path).alias("path"), F.inline(F.array_compact(F.array(*ops))))
 
 

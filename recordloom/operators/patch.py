@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -77,17 +78,18 @@ def merge_rows(rows: DataFrame, patches: DataFrame, key: Sequence[str], deletes:
     return joined.select(*out)
 
 
-# -- RFC 6902 ------------------------------------------------------------------
+# RFC 6902:
 
 
 def pointer(base: str, token: str | int) -> str:
     """base extended by one token of a JSON pointer."""
-    return f"{base}/{str(token).replace('~', '~0').replace('/', '~1')}"
+    return f"{base}/{str(token).translate({126: '~0', 47: '~1'})}"
 
 
 def split_pointer(text: str) -> list[str]:
     """Tokens of a JSON pointer."""
-    return [t.replace("~1", "/").replace("~0", "~") for t in text.split("/")[1:]] if text else []
+    plain = {"~0": "~", "~1": "/"}
+    return [re.sub("~[01]", lambda m: plain[m.group()], t) for t in text.split("/")[1:]]
 
 
 def _same(a: Any, b: Any) -> bool:

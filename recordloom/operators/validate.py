@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from recordloom.errors import ConfigError
 from recordloom.functions.values import NUMERIC, column_of
 from recordloom.operators.analytics import json_type
+from recordloom.operators.patch import split_pointer
 
 _ONE = {"additionalItems", "additionalProperties", "contains", "else", "if", "not", "propertyNames", "then"}
 _MANY = {"allOf", "anyOf", "oneOf"}
@@ -24,8 +25,8 @@ _PLAIN = {"$comment", "$id", "$ref", "$schema", "const", "contentEncoding", "con
 _FORMATS = {
     "email": r"^[^@\s]+@[^@\s]+$",
     "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
-    "time": r"^([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$",
-    "date-time": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$",
+    "time": r"^([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?(?:[-+]\d{2}:\d{2}|[zZ])$",
+    "date-time": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d|60)(\.\d+)?(?:[-+]\d{2}:\d{2}|[zZ])$",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "ipv4": r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$",
@@ -80,7 +81,7 @@ def check_schema(schema: Any) -> None:
     walk(schema, visit)
 
 
-# -- Python validator ------------------------------------------------------------
+# Python validator:
 
 
 def _is(value: Any, kind: str) -> bool:
@@ -119,8 +120,8 @@ def document_issues(value: Any, schema: Any, root: Any = None, path: str = "", a
         return [_issue(path, at + "/false", "nothing is allowed here")]
     if "$ref" in schema:
         target: Any = root
-        for t in schema["$ref"].lstrip("#").split("/")[1:]:
-            target = target[t.replace("~1", "/").replace("~0", "~")]
+        for t in split_pointer(schema["$ref"].lstrip("#")):
+            target = target[t]
         return document_issues(value, target, root, path, f"{at}/$ref")
     out: list[dict] = []
     add = lambda k, m: out.append(_issue(path, f"{at}/{k}", m))
@@ -202,7 +203,7 @@ def document_issues(value: Any, schema: Any, root: Any = None, path: str = "", a
     return out
 
 
-# -- Columns ---------------------------------------------------------------------
+# Columns:
 
 ISSUE = "struct<path:string,schema_path:string,code:string,message:string>"
 _COLUMN_KEYWORDS = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format", "minItems", "maxItems", "uniqueItems", "items", "required", "properties", "additionalProperties", "allOf", "anyOf", "oneOf", "not", "definitions", "$defs"}

@@ -113,7 +113,7 @@ def will_change(existing: DataFrame, batch: DataFrame, template: Template, schem
     return upsert_plan(existing, prepare(batch, template, schema, rules)).select("_path", "_category")
 
 
-# -- patch ---------------------------------------------------------------------
+# patch:
 
 
 def patch_plan(existing: DataFrame, patches: DataFrame, template: Template) -> DataFrame:
@@ -142,7 +142,7 @@ def bulk_patch(existing: DataFrame, patches: DataFrame, template: Template, on_m
     return with_blob(out)
 
 
-# -- delete and rename ------------------------------------------------------------
+# delete and rename:
 
 
 def delete_where(existing: DataFrame, filters: Iterable[str | Clause]) -> DataFrame:

@@ -59,7 +59,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _query("SELECT coalesce(o_orderpriority, '') AS value, count(*) AS count FROM orders WHERE o_totalprice > 100000 GROUP BY 1", "facets_filtered")(flagship)
 
 
-# -- filters ---------------------------------------------------------------------
+# filters:
 
 
 def _filter(name: str, table: str, clauses: list[str], keep: str, where: str) -> None:
@@ -117,7 +117,7 @@ def filter_array_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where(flt.matching(df, {"pair": [2, 1]})).select("vec_id")
 
 
-# -- facets, counts, order ----------------------------------------------------------
+# facets, counts, order:
 
 
 def _facet(name: str, table: str, field: str, sql: str) -> None:
@@ -193,7 +193,7 @@ def sheets_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-# -- templates and pruning ------------------------------------------------------------
+# templates and pruning:
 
 
 def _path(name: str, table: str, source: str, keep: str, sql: str) -> None:
@@ -250,7 +250,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# -- indexes ------------------------------------------------------------------------
+# indexes:
 
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -285,7 +285,7 @@ def index_write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.write_conflicts(existing, batch, I.define("name", "c_name", unique=True)).select("path", "owner")
 
 
-# -- diff and patch -------------------------------------------------------------------
+# diff and patch:
 
 
 def orders_before_after(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +354,7 @@ def merge_patch_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "props.k", "note")
 
 
-# -- writes -------------------------------------------------------------------------
+# writes:
 
 
 _CUSTOMER = template.parse("${{ c_custkey }}")
@@ -450,7 +450,7 @@ def batch_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.read_paths(part, part.select((F.col("p_partkey") + 100).cast("string").alias("_path"))).select("_path", "p_name")
 
 
-# -- validation and inference ---------------------------------------------------------
+# validation and inference:
 
 _LINE_SCHEMA = {
     "type": "object",
@@ -459,7 +459,7 @@ _LINE_SCHEMA = {
         "l_quantity": {"type": "number", "minimum": 1, "maximum": 40},
         "l_returnflag": {"type": "string", "enum": ["A", "N"]},
         "l_discount": {"type": "number", "exclusiveMaximum": 0.1},
-        "l_linestatus": {"type": "string", "pattern": "^[OF]$", "maxLength": 1},
+        "l_linestatus": {"maxLength": 1, "pattern": "^[OF]$", "type": "string"},
         "l_linenumber": {"type": "integer", "multipleOf": 1},
     },
 }
@@ -506,7 +506,7 @@ def infer_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.field_statistics(_labelled(spark, sf_dir)).select("field", "type", "present", "records", "minimum", "maximum")
 
 
-# -- codecs and normalisation -----------------------------------------------------------
+# codecs and normalisation:
 
 
 @_query("SELECT n_nationkey, sha1(encode('blob ' || strlen(n_name) || chr(0) || n_name)) AS hash FROM nation")
@@ -560,7 +560,7 @@ def text_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", V.js_string(F.col("o_orderkey"), df.schema["o_orderkey"].dataType).alias("a"), V.js_string(F.col("o_totalprice"), df.schema["o_totalprice"].dataType).alias("b"))
 
 
-# -- store ----------------------------------------------------------------------------
+# store:
 
 
 @_query("SELECT 'added' AS status, count(*) AS count FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'modified', count(*) FROM supplier WHERE s_suppkey % 2 = 1")

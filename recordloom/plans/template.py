@@ -65,7 +65,7 @@ class Template:
                     out += [m.group() for m in _IDENT.finditer(bare) if m.group().lower() not in _SQL_WORDS and not bare[m.end() :].lstrip().startswith("(")]
         return list(dict.fromkeys(out))
 
-    # -- rendering ---------------------------------------------------------
+    # rendering:
 
     def component_columns(self, df: DataFrame, strict: bool = False) -> list[Column]:
         """A column for each component; null where the record lacks what it needs."""
@@ -109,7 +109,7 @@ class Template:
             out.append(text)
         return "/".join(out)
 
-    # -- partitions and pruning --------------------------------------------
+    # partitions and pruning:
 
     def partition_names(self, taken: Sequence[str] = ()) -> list[str]:
         """Names of the partition columns: all components but the last, which is the record itself."""
@@ -210,7 +210,7 @@ _UNITS: dict[str, Callable[[Column], Column]] = {
     "isoyear": lambda d: F.lpad(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), 4, "0"),
     "week": lambda d: F.lpad(F.weekofyear(d).cast("string"), 2, "0"),
 }
-_ISO = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})?)?$"
+_ISO = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(?:[-+]\d{2}:?\d{2}|[zZ])?)?$"
 
 
 def _part_column(p: Part, df: DataFrame, strict: bool) -> Column:
@@ -226,7 +226,7 @@ def _part_column(p: Part, df: DataFrame, strict: bool) -> Column:
         renders = isinstance(kind, (T.StringType, T.BooleanType, T.NumericType))
         return js_string(c, kind) if renders else F.lit(None).cast("string")
     if isinstance(kind, T.StringType):
-        zoned = c.rlike(r"([Zz]|[+-]\d{2}:?\d{2})$") & c.rlike("[Tt ]")
+        zoned = c.rlike(r"(?:[-+]\d{2}:?\d{2}|[zZ])$") & c.rlike("[Tt ]")
         day = F.when(c.rlike(_ISO), F.when(zoned, F.to_utc_timestamp(F.try_to_timestamp(c), F.current_timezone())).otherwise(F.try_to_timestamp(F.regexp_replace(c, "[Tt]", " ")))).cast("date")
     elif isinstance(kind, T.TimestampType):
         day = F.to_utc_timestamp(c, F.current_timezone()).cast("date")

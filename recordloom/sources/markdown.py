@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.errors import ConfigError, ValidationError
 from recordloom.sources import toml
 
-_H1 = re.compile(r"^# ([^\r\n]+?)[ \t]*\r?$", re.MULTILINE)
+_H1 = re.compile(r"^# ([^\n\r]+?)[\t ]*\r?$", re.MULTILINE)
 
 
 def first_h1(body: str) -> str | None:

@@ -153,7 +153,7 @@ def read_blob(spark: SparkSession, path: str) -> bytes:
     return bytes(row["content"])
 
 
-# -- writing --------------------------------------------------------------------
+# writing:
 
 
 def flat(df: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ class Store:
             if name not in self.sheet_names():
                 raise ConfigError(f"a validator names the sheet {name!r}, which is not declared", "config_missing")
 
-    # -- references and commits ----------------------------------------------
+    # references and commits:
 
     def data(self, snapshot: str) -> str:
         return self.files.at("data", snapshot)
@@ -194,7 +194,7 @@ class Store:
             df.unpersist()
         self._built.clear()
 
-    # -- sheets -----------------------------------------------------------------
+    # sheets:
 
     def _configs(self, ref: str | None = None) -> dict[str, str]:
         c = self.commit(ref or self.head)
@@ -217,7 +217,7 @@ class Store:
         """Name, format, number of records and root of every sheet."""
         return [{"name": n, "format": s.config.format, "records": s.records().count(), "root": s.config.root} for n, s in self.sheets().items()]
 
-    # -- transactions -------------------------------------------------------------
+    # transactions:
 
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
@@ -357,7 +357,7 @@ class Sheet:
         """Path that a record would have."""
         return self.config.path.render_record(record)
 
-    # -- writes outside of a transaction: one commit each -----------------------------
+    # writes outside of a transaction: one commit each:
 
     @contextlib.contextmanager
     def _auto(self, what: str) -> Iterator[Transaction]:
@@ -387,7 +387,7 @@ class Sheet:
         """(_path, _category) that an upsert of the batch would have."""
         return wr.will_change(self.visible(self.records()), batch, self.config.path, self.effective_schema(), self.config.sort)
 
-    # -- indexes ------------------------------------------------------------------
+    # indexes:
 
     def define_index(self, name: str, key: idx.Key, unique: bool = False, eager: bool = False) -> None:
         own = self.store._indexes.setdefault(self.config.name, [])
@@ -415,7 +415,7 @@ class Sheet:
         found = self._index(name)
         return keys.join(found, keys["key"] == found["_key"], "left").drop("_key")
 
-    # -- attachments -----------------------------------------------------------------
+    # attachments:
 
     def attachments(self, path: str | None = None) -> DataFrame:
         """(_path, name, bytes, hash) of all records or of one."""
