@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,99 +38,109 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _undominated(filling: list[int], ascending: list[int], slack: int) -> bool:
+def _undominated(filling: list[int], counts: Counter, present: int, slack: int) -> bool:
     """Whether no subset of the filling can be replaced by one larger left-out document that still fits.
 
-    ascending: all sizes that are left, those of the filling among them.
+    counts: how often each size is left, the filling among them; present: the same as a set of bits.
     """
-    used = Counter(filling)
-    sums = {0}
+    sums = 1
     for x in filling:
-        sums |= {s + x for s in sums}
-    for s in sums:
-        at = bisect_right(ascending, s)
-        while at < len(ascending) and ascending[at] <= s + slack:
-            x = ascending[at]
-            after = bisect_right(ascending, x)
-            if after - at > used[x]:
-                return False
-            at = after
-    return True
-
-
-def fillings(sizes: list[int], room: int, waste: int, most: int, steps: int) -> list[list[int]]:
+        sums |= sums << x
+    for x, n in Counter(filling).items():
+        if counts[x] == n:
+            present &= ~(1 << x)
+    spread, wide = sums << 1, 1  # what is larger than a sum by 1 to wide
+    while wide < slack:
+        more = min(wide, slack - wide)
+        spread |= spread << more
+        wide += more
+    return not slack or not spread & present
+
+
+def fillings(sizes: list[int], room: int, waste: int, most: int | None = None, steps: int = 4000) -> Iterator[list[int]]:
     """Undominated sets of positions in sizes (descending) that fit into room and leave at most waste, fullest first.
 
-    At most `most` of them, found within `steps` steps of the enumeration; the
-    caller keeps an incumbent, so what isn't looked at costs optimality only.
+    They come one by one as they are asked for, all of them if most is None and
+    there are steps enough; the first one comes whatever the steps.  The sums that
+    the smaller sizes can reach are known as bits, so no step leads nowhere.
     """
-    found: list[tuple[int, list[int]]] = []
     falling = [-s for s in sizes]  # ascending, for bisect
-    ascending = sizes[::-1]
-    budget = [steps]
-    least = sizes[-1] if sizes else 0
-
-    def grow(at: int, left: int, chosen: list[int]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0 or len(found) >= most:
-            return
-        at = max(at, bisect_left(falling, -left)) if left >= least else len(sizes)
-        if at >= len(sizes):
-            if left <= waste and (len(chosen) > 10 or _undominated([sizes[i] for i in chosen], ascending, left)):
-                found.append((left, list(chosen)))
-            return
-        chosen.append(at)
-        grow(at + 1, left - sizes[at], chosen)
-        chosen.pop()
-        # leave out all of this size: equal documents are interchangeable
-        grow(bisect_right(falling, falling[at]), left, chosen)
-
-    grow(0, room, [])
-    return [x for _, x in sorted(found, key=lambda f: f[0])]
-
-
-def complete(sizes: list[int], capacity: int, nodes: int = 1000, most: int = 4, steps: int = 120) -> list[list[int]]:
+    counts = Counter(sizes)
+    present = sum(1 << s for s in counts)
+    fits = (1 << (room + 1)) - 1
+    reach = [1] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, bisect_left(falling, -room) - 1, -1):
+        reach[k] = reach[k + 1] | (reach[k + 1] << sizes[k] & fits)
+    least = bisect_left(falling, -room)
+    found = 0
+    for slack in range(min(waste, room) + 1):
+        if not reach[least] >> (room - slack) & 1:
+            continue
+        chosen: list[int] = []
+        stack: list[tuple[int, int, int, int | None]] = [(least, room - slack, 0, None)]
+        while stack:
+            at, left, depth, own = stack.pop()
+            del chosen[depth:]
+            if own is not None:
+                chosen.append(own)
+            steps -= 1
+            if found and (steps < 0 or found == most):
+                return
+            if not left:
+                if _undominated([sizes[i] for i in chosen], counts, present, slack):
+                    found += 1
+                    yield list(chosen)
+                continue
+            at = bisect_left(falling, -left, at)
+            # leave out all of this size: equal documents are interchangeable
+            after = bisect_right(falling, falling[at], at)
+            if reach[after] >> left & 1:
+                stack.append((after, left, len(chosen), None))
+            if reach[at + 1] >> (left - sizes[at]) & 1:
+                stack.append((at + 1, left - sizes[at], len(chosen), at))
+
+
+def complete(sizes: list[int], capacity: int, nodes: int = 2000, most: int | None = None, steps: int = 4000) -> list[list[int]]:
     """Bins of indexes into sizes (descending, each at most capacity): best-fit decreasing, improved by bin completion.
 
-    nodes bounds the search; a packing is optimal where its number of bins
-    equals the larger of the volume bound and the number of documents over half
-    of the capacity, or the search ended within its limits.
+    nodes bounds the search, most (None: no bound) and steps the fillings of each
+    node; a packing is optimal where its number of bins equals the larger of the
+    volume bound and the number of documents over half of the capacity, or the
+    search ended without meeting any of these limits.
     """
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
     bound = max(-(-total // capacity), sum(2 * s > capacity for s in sizes))
-    budget = [nodes]
-
-    def search(left: list[int], done: list[list[int]], wasted: int) -> bool:
-        nonlocal incumbent
+    if len(incumbent) <= bound:
+        return incumbent
+    done: list[list[int]] = []
+    frames: list[tuple[list[int], int, Iterator[list[int]]]] = []  # the k-th one fills the k-th bin of done
+    left, wasted = list(range(len(sizes))), 0
+    while True:
+        affordable = (len(incumbent) - 1) * capacity - total - wasted
         if not left:
             if len(done) < len(incumbent):
                 incumbent = [list(b) for b in done]
-            return len(incumbent) == bound
-        affordable = (len(incumbent) - 1) * capacity - total - wasted
-        if affordable < 0 or len(done) + 1 >= len(incumbent):
-            return False
-        budget[0] -= 1
-        if budget[0] < 0:
-            return True
-        room = capacity - sizes[left[0]]
-        rest = left[1:]
-        own = [sizes[i] for i in rest]
-        for filling in fillings(own, room, affordable, most, steps):
-            inside = set(filling)
-            slack = room - sum(own[k] for k in filling)
-            done.append([left[0], *(rest[k] for k in filling)])
-            stop = search([x for k, x in enumerate(rest) if k not in inside], done, wasted + slack)
-            done.pop()
-            if stop:
-                return True
-            if (len(incumbent) - 1) * capacity - total - wasted < 0:
-                return False
-        return False
-
-    if len(incumbent) > bound and len(incumbent) < 700:  # the depth of the recursion
-        search(list(range(len(sizes))), [], 0)
-    return incumbent
+            if len(incumbent) == bound:
+                return incumbent
+        elif affordable >= 0 and len(done) + 1 < len(incumbent):
+            nodes -= 1
+            if nodes < 0:
+                return incumbent
+            frames.append((left, wasted, fillings([sizes[i] for i in left[1:]], capacity - sizes[left[0]], affordable, most, steps)))
+        while frames:
+            left, wasted, options = frames[-1]
+            del done[len(frames) - 1 :]
+            filling = next(options, None) if (len(incumbent) - 1) * capacity - total - wasted >= 0 else None
+            if filling is not None:
+                break
+            frames.pop()
+        else:
+            return incumbent
+        done.append([left[0], *(left[k + 1] for k in filling)])
+        inside = {0, *(k + 1 for k in filling)}
+        wasted += capacity - sum(sizes[i] for i in done[-1])
+        left = [x for k, x in enumerate(left) if k not in inside]
 
 
 def pack(

@@ -117,6 +117,49 @@ def test_bin_completion_is_optimal_on_small_cases():
     assert better > 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bin_completion_fills_with_many_small_pieces(seed):
+    rng = random.Random(seed)
+    kinds, sizes = rng.sample(range(17, 40), 3), []
+    for _ in range(3):  # three full sequences of over a hundred pieces each
+        left = 4096
+        while left >= 57:
+            sizes.append(rng.choice(kinds))
+            left -= sizes[-1]
+        sizes.append(left)
+    sizes.sort(reverse=True)
+    bins = packing.complete(sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert len(bins) == 3 < len(packing.best_fit(sizes, 4096))
+
+
+@pytest.mark.parametrize("seed", [105, 362, 1357])
+def test_bin_completion_tries_every_filling(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(100, 2500) for _ in range(rng.randint(20, 60))), reverse=True)
+    bins = packing.complete(sizes, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+    assert len(bins) == -(-sum(sizes) // 4096) < len(packing.best_fit(sizes, 4096))
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(6)
+    for _ in range(100):
+        sizes = sorted((rng.randint(5, 40) for _ in range(9)), reverse=True)
+        room, waste = rng.randint(40, 90), rng.randint(0, 30)
+        subsets = [[i for i in range(9) if bits >> i & 1] for bits in range(512)]
+
+        def dominated(own):
+            out, slack = [sizes[i] for i in range(9) if i not in own], room - sum(sizes[i] for i in own)
+            return any(s < x <= s + slack for s in {sum(sizes[i] for i in sub) for sub in subsets if set(sub) <= set(own)} for x in out)
+
+        fit = [own for own in subsets if 0 <= room - sum(sizes[i] for i in own) <= waste and not dominated(own)]
+        found = [tuple(sizes[i] for i in own) for own in packing.fillings(sizes, room, waste)]
+        assert len(found) == len(set(found)) and set(found) == {tuple(sizes[i] for i in own) for own in fit}
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
 def test_packing_covers_every_token_once(spark):
     rng = random.Random(4)
     frame = docs(spark, [prose(rng, rng.randint(1, 150)) for _ in range(150)])
