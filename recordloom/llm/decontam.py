@@ -255,10 +255,14 @@ class Patterns:
                 text = np.concatenate([words[x:y] for x, y in zip(first, stop[mine], strict=True)])
                 first = np.cumsum(stop[mine] - first) - (stop[mine] - first)
             last = first + (stop[mine] - start[mine])
+            order = np.argsort(first - last, kind="stable")  # the longest first, so that rows of one width come together
+            mine, first, last = mine[order], first[order], last[order]
             at = np.minimum(np.searchsorted(vocabulary, text), len(vocabulary) - 1)
             ids = np.where(vocabulary[at] == text, at, len(vocabulary)).astype(np.int32)
-            for i in range(0, len(mine), 2048):
-                j = slice(i, i + 2048)
+            i = 0
+            while i < len(mine):
+                j = slice(i, i + max(1, min(2048, (1 << 19) // max(1, int(last[i] - first[i])))))
+                i = j.stop
                 out[mine[j]] = self._match(b, tables, ids, text, owner[mine[j]], first[j], last[j], least)
         return out
 
@@ -301,6 +305,8 @@ class Items:
     ids: np.ndarray
     vectors: np.ndarray  # of pieces of items, normalised
     piece_of: np.ndarray
+    before: np.ndarray  # words of the item before each piece
+    after: np.ndarray  # and after it
     window: int
     words: Patterns
     answers: Patterns
@@ -322,14 +328,18 @@ def prepare_items(rows: list[tuple[int, str, str | None]], vectors: np.ndarray,
         groups.setdefault(_window(len(words)), []).append((item, words, end))
     out = []
     for window, own in sorted(groups.items()):
-        pieces, of = [], []
+        pieces, of, before, after = [], [], [], []
         for k, (_, words, _) in enumerate(own):
             parts = max(1, round(len(words) / window)) if len(words) > 1.5 * window else 1
+            at = 0
             for part in np.array_split(words, parts):
+                before.append(at)
+                at += len(part)
+                after.append(len(words) - at)
                 v = vectors[part & np.uint32(_D - 1)].sum(axis=0)
                 pieces.append(v / (np.linalg.norm(v) or 1.0))
                 of.append(k)
-        out.append(Items(np.array([x[0] for x in own], dtype=np.int64), np.array(pieces, dtype=np.float32), np.array(of), window, Patterns([x[1] for x in own]), Patterns([x[2] for x in own])))
+        out.append(Items(np.array([x[0] for x in own], dtype=np.int64), np.array(pieces, dtype=np.float32), np.array(of), np.array(before), np.array(after), window, Patterns([x[1] for x in own]), Patterns([x[2] for x in own])))
     return out
 
 
@@ -366,7 +376,7 @@ def _search(groups, vectors, p: Params):
 
 
 def candidates(g: Items, sums: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first block of a window, item, cosine) of all pairs above the least cosine."""
+    """(first block of a window, piece of an item, cosine) of all pairs above the least cosine."""
     wide, step = g.window // _BLOCK, g.window // _BLOCK // 2
     n = max(1, -(-(len(sums) - wide) // step) + 1)
     need = (n - 1) * step + wide
@@ -375,26 +385,28 @@ def candidates(g: Items, sums: np.ndarray, cosine: float) -> tuple[np.ndarray, n
     half = np.einsum("ijk->ik", sums[: (n + 1) * step].reshape(n + 1, step, -1))
     window = half[:-1] + half[1:]
     window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-    at, item, value = [], [], []
+    at, piece, value = [], [], []
     for a in range(0, n, 8192):
         for b in range(0, len(g.vectors), 512):
             c = window[a : a + 8192] @ g.vectors[b : b + 512].T
             x, y = np.nonzero(c >= cosine)
             at.append(x + a)
-            item.append(g.piece_of[y + b])
+            piece.append(y + b)
             value.append(c[x, y])
-    return np.concatenate(at) * step, np.concatenate(item), np.concatenate(value)
+    return np.concatenate(at) * step, np.concatenate(piece), np.concatenate(value)
 
 
 def _matches(g: Items, sums: np.ndarray, ids: np.ndarray, words: np.ndarray, at: np.ndarray, first: np.ndarray, p: Params):
-    block, item, cosine = candidates(g, sums, p.cosine)
+    block, piece, cosine = candidates(g, sums, p.cosine)
     if not len(block):
         return None
     doc = np.searchsorted(first, block, side="right") - 1
     begin = (block - first[doc]) * _BLOCK
     size = at[doc + 1] - at[doc]
-    start = at[doc] + np.maximum(begin - g.window // 2, 0)
-    stop = at[doc] + np.minimum(begin + g.window + g.window // 2, size)
+    # the stretch covers the whole item of a piece, with half as much again for words put in
+    item, before, after = g.piece_of[piece], g.before[piece], g.after[piece]
+    start = at[doc] + np.maximum(begin - g.window // 2 - (before + before // 2), 0)
+    stop = at[doc] + np.minimum(begin + g.window + g.window // 2 + (after + after // 2), size)
     use = (start < stop) & (begin < size)
     doc, item, cosine, start, stop = doc[use], item[use], cosine[use], start[use], stop[use]
     if not len(doc):

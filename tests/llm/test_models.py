@@ -1,7 +1,9 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from recordloom.llm import decontam, nbsvm, pii
 from recordloom.llm import text as T
@@ -131,6 +133,36 @@ def test_contamination_in_passes_and_with_answers(spark):
     assert {x[:2] for x in got} == truth and not any(x[2] for x in got)
 
 
+def searched(texts, items):
+    """(document, item) pairs of the search alone, in a space of random word vectors."""
+    vectors = np.random.default_rng(5).normal(size=(decontam._D, 56)).astype(np.float32)
+    batch = decontam._pack(pa.array(range(len(texts)), pa.int64()), *T.word_hashes(pa.array(texts, pa.large_string())))
+    groups = decontam.prepare_items([(k, t, None) for k, t in enumerate(items)], vectors, decontam.Params())
+    run = decontam._search(SimpleNamespace(value=groups), SimpleNamespace(value=vectors), decontam.Params())
+    return {(d, i) for b in run(iter([batch])) for d, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+
+
+@pytest.mark.parametrize("size", [150, 200, 260, 400, 1000])
+def test_long_items_are_found_wherever_they_lie(size):
+    rng = random.Random(size)
+    items = [prose(rng, size), prose(rng, 40), prose(rng, 700)]
+    edited = [" ".join(w if rng.random() > 0.2 else prose(rng, 1) for w in items[0].split()) for _ in range(4)]
+    longer = [" ".join(w if rng.random() > 0.15 else f"{w} {prose(rng, 1)}" for w in items[0].split()) for _ in range(4)]
+    copies = [items[0]] * 4 + edited + longer
+    texts = [" ".join([prose(rng, a), copy, prose(rng, b)]) for copy, (a, b) in zip(copies, [(0, 0), (0, 500), (500, 0), (333, 333)] * 3, strict=True)]
+    others = [prose(rng, 2000) for _ in range(5)] + [" ".join(items[0].split()[: size // 2]) + " " + prose(rng, 600)]
+    assert searched(texts + others, items) == {(k, 0) for k in range(len(texts))}
+
+
+def test_contamination_of_long_items(spark):
+    rng = random.Random(12)
+    items = [prose(rng, n) for n in (200, 400, 1000)]
+    texts = [f"{prose(rng, 70 * k)} {items[k % 3]} {prose(rng, 150)}" for k in range(9)] + [prose(rng, 500) for _ in range(9)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), benchmark).collect()}
+    assert got == {(k, k % 3) for k in range(9)}
+
+
 def test_contamination_of_hard_rows(spark):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (None, "one"), (3, "nothing of that kind at all here")], "item_id long, text string")
     assert decontam.contaminated(hard(spark), benchmark).count() == 0
