@@ -363,10 +363,10 @@ def _search(groups, vectors, p: Params):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed, own = Embedder(vectors.value), groups.value
-        gap = max(g.window for g in own) // 2 // _BLOCK
+        step = max(g.window for g in own) // 2
         for batch in batches:
             for ids, words, at in _load(batch):
-                padded, first = _pad(words, at, _BLOCK, gap)
+                padded, first = _pad(words, at, step, 1)  # a window of every size starts where a document does
                 sums = embed.blocks(padded, _BLOCK)
                 parts = [x for g in own if (x := _matches(g, sums, ids, words, at, first // _BLOCK, p)) is not None]
                 if parts:

@@ -154,6 +154,36 @@ def test_long_items_are_found_wherever_they_lie(size):
     assert searched(texts + others, items) == {(k, 0) for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("size", [20, 46, 50, 91])
+def test_items_at_the_head_of_a_document_are_found_behind_any_neighbour(size):
+    rng = random.Random(size)
+    items = [prose(rng, 91), prose(rng, size)]
+    texts = []
+    for k in range(1, 65):  # every length of the neighbour modulo the step
+        texts += [prose(rng, k), f"{items[1]} {prose(rng, 300)}", prose(rng, 64 - k), items[1]]
+    assert searched(texts, items) == {(d, 1) for d in range(len(texts)) if d % 2}
+
+
+def test_every_word_of_a_document_is_in_a_window(monkeypatch):
+    rng, sizes = random.Random(2), [*range(1, 130), 50, 50, 300]
+    starts = []
+
+    def windows(g, sums, cosine):
+        block, piece, value = own(g, sums, -2.0)
+        starts.extend((g.window, x * decontam._BLOCK) for x in block.tolist())
+        return block, piece, value
+
+    own = decontam.candidates
+    monkeypatch.setattr(decontam, "candidates", windows)
+    pads = []
+    pad = decontam._pad
+    monkeypatch.setattr(decontam, "_pad", lambda *x: pads.append(pad(*x)) or pads[-1])
+    searched([prose(rng, n) for n in sizes], [prose(rng, n) for n in (20, 30, 60, 91)])
+    for wide in (16, 32, 64, 128):
+        at = {x for w, x in starts if w == wide}
+        assert {int(x) for x in pads[0][1]} <= at
+
+
 def test_contamination_of_long_items(spark):
     rng = random.Random(12)
     items = [prose(rng, n) for n in (200, 400, 1000)]
