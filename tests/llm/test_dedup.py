@@ -77,6 +77,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert blocks == got
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng = random.Random(9)
+    texts, pairs = [], 0
+    while pairs < 600:  # isolated pairs of a similarity of 0.60 to 0.62
+        words = prose(rng, 120).split()
+        other = list(words)
+        for at in rng.sample(range(5, 115), 10):
+            other[at] = prose(rng, 1)
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        if 0.6 <= len(a & b) / len(a | b) <= 0.62:
+            texts += [" ".join(words), " ".join(other)]
+            pairs += 1
+    found = {(r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(pairs)}
+    assert len(found) >= 0.9 * pairs
+
+
 def test_verification_is_exact():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
