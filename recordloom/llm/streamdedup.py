@@ -10,6 +10,9 @@ bytes themselves agree.
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,7 @@ def _order(id_col: str, file: str, row: str) -> F.Column:
 
 def update_state(spark: SparkSession, source: list[tuple[str, str]], schema: T.StructType, state_dir: str, id_col: str, text_col: str, max_files: int) -> DataFrame:
     """Feed files that the state has not seen yet through the stream; return the digests so far: (digest, n, first)."""
+    began = F.lit(datetime.now(timezone.utc))  # one for all folders: of equal texts of a call, the smallest id comes first
     before = {k: spark.conf.get(k, None) for k in _CONF}
     for k, v in _CONF.items():
         spark.conf.set(k, v)
@@ -40,7 +44,7 @@ def update_state(spark: SparkSession, source: list[tuple[str, str]], schema: T.S
         for k, (at, glob) in enumerate(source):
             rows = (
                 spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", glob).parquet(at)
-                .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.current_timestamp().alias("batch"))
+                .select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), began.alias("batch"))
                 .where("digest is not null")
             )
             seen = F.min(F.struct("batch", _order("id", "file", "row").alias("document")))
@@ -55,8 +59,10 @@ def update_state(spark: SparkSession, source: list[tuple[str, str]], schema: T.S
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = "digest binary, n bigint, first struct<batch: timestamp, document: struct<no_id: boolean, id: bigint, file: string, row: bigint>>"
+    found += ", source int"
     updates = spark.read.schema(found).parquet(f"{state_dir}/digests") if _exists(spark, f"{state_dir}/digests") else spark.createDataFrame([], found)
-    return updates.groupBy("digest").agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    last = updates.groupBy("digest", "source").agg(F.max("n").alias("n"), F.min("first").alias("first"))
+    return last.groupBy("digest").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -68,9 +74,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows whose text another row had before: (doc_id, duplicate_of, file, row).
 
     docs should be a plain scan of Parquet files; anything else is first written
-    to the shared folder.  Of equal texts, the row of the earliest micro-batch
-    stays, within a batch the one with the smallest id (a null id last), then
-    the first by file and row; so rows that repeat in full lose all but one.
+    to the shared folder.  Of equal texts, in whatever folders, the row of the
+    earliest call stays, within a call the one with the smallest id (a null id
+    last), then the first by file and row; so rows that repeat in full lose all but one.
     Texts are equal where all their bytes are: should two texts ever share a
     digest, each has its own survivor.  Null texts are never duplicates; empty
     texts are duplicates of one another.  Other columns are ignored whatever
@@ -101,12 +107,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _source_paths(paths: list[str]) -> list[tuple[str, str]]:
-    """What the stream reads, as folders and patterns: a lone file by its name, or all Parquet files of its folder."""
+    """What the stream reads, as folders and patterns: a lone file by its name, or all Parquet files of its folder and the others by name."""
     folders: dict[str, list[str]] = {}
     for p in paths:
         head, _, tail = p.rpartition("/")
         folders.setdefault(head, []).append(tail)
-    return sorted((head, tails[0] if len(tails) == 1 else "*.parquet") for head, tails in folders.items())
+
+    def pattern(tails: list[str]) -> str:
+        others = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", x) for x in tails if not x.endswith(".parquet")]
+        return tails[0] if len(tails) == 1 else "{" + ",".join(["*.parquet", *others]) + "}" if others else "*.parquet"
+
+    return sorted((head, pattern(tails)) for head, tails in folders.items())
 
 
 def as_scan(docs: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit
 
 from recordloom.llm import minhash, streamdedup
 from recordloom.llm import text as T
@@ -135,6 +136,24 @@ def test_state_lives_on_and_first_decisions_stand(spark, tmp_path):
     assert got == [(1, 10), (3, 2)]
 
 
+def test_exact_duplicates_across_folders(spark, tmp_path):
+    frame = docs(spark, ["a b", "c", "d", "e", "f"], start=10).withColumn("lang", lit("x"))
+    again = docs(spark, ["c", "d", "g"], start=1).withColumn("lang", lit("y"))  # smaller ids, in a later folder
+    frame.unionByName(again).unionByName(docs(spark, ["d"], start=30).withColumn("lang", lit("z"))).write.partitionBy("lang").parquet(f"{tmp_path}/parts")
+    table = spark.read.parquet(f"{tmp_path}/parts")
+    assert {(r.doc_id, r.duplicate_of) for r in streamdedup.duplicates(table).collect()} == {(11, 1), (12, 2), (30, 2)}
+    assert {r.doc_id for r in streamdedup.deduplicate(table).collect()} == {10, 1, 2, 13, 14, 3}
+
+
+def test_exact_duplicates_in_files_of_any_name(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    for k, name in enumerate(("one", "two{3,4}", "three.parquet")):
+        docs(spark, ["same", f"other {k}"], start=10 * k).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        next((tmp_path / str(k)).glob("part-*")).rename(tmp_path / "files" / name)
+    table = spark.read.parquet(f"{tmp_path}/files")
+    assert {(r.doc_id, r.duplicate_of) for r in streamdedup.duplicates(table).collect()} == {(10, 0), (20, 0)}
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_exact_duplicates_by_bytes(spark, n):
     texts = ["a", "a ", "A", "a", "é", "é", "a"] * n
