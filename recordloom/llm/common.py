@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark is local (tests)."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -46,12 +49,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def file_paths(df: DataFrame) -> list[str] | None:
-    """Files behind df if it is nothing but a scan of Parquet files, else None."""
+def scan_roots(df: DataFrame) -> list[str]:
+    """The files and folders that df reads if it is nothing but a scan of Parquet files without options, else none."""
     plan = df._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation":
-        return None
-    return list(df.inputFiles())
+        return []
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or not relation.fileFormat().toString().startswith("Parquet"):
+        return []
+    names = relation.options().keysIterator()
+    while names.hasNext():
+        if names.next().lower() not in ("path", "paths"):
+            return []
+    roots = relation.location().rootPaths()
+    return [roots.apply(k).toString() for k in range(roots.size())]
+
+
+def as_scan(docs: DataFrame) -> DataFrame:
+    """docs as a scan of files; written to the shared folder first where it is anything else."""
+    return docs if scan_roots(docs) else save(docs, "documents")
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -62,17 +78,53 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def per_slice(
-    fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | None], flush: Callable[[], Iterator[pa.RecordBatch]]
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that feeds batches to fn and ends with flush()."""
+#: Bits of a sieve at most: 64 MB.
+SIEVE_BITS = 1 << 29
+_LIMITS = ("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", "spark.sql.optimizer.runtime.bloomFilter.maxNumItems")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch) or ()
-        yield from flush()
+def sieve(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test on BIGINT columns that is true for every value of the only column of keys, and false for most others.
 
-    return run
+    A Bloom filter of ten bits a key and SIEVE_BITS at most, whatever the number
+    of keys, so what travels to the tasks is bounded; with more keys it lets more
+    through, so it only spares work and never decides.  keys should be a table
+    that is read from files.
+    """
+    n = keys.count()
+    if not n:
+        return lambda column: F.lit(False)
+    spark = keys.sparkSession
+    jvm, name = spark.sparkContext._jvm, keys.columns[0]
+    bits = min(SIEVE_BITS, max(1 << 10, 10 * n))
+    before = {k: spark.conf.get(k, None) for k in _LIMITS}
+    try:
+        for k in _LIMITS:
+            spark.conf.set(k, str(max(bits, n)))
+        made = keys.coalesce(32)._jdf.stat().bloomFilter(name, n, bits)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = jvm.java.io.ByteArrayOutputStream()
+    made.writeTo(out)
+    held = spark.createDataFrame([(bytearray(out.toByteArray()),)], "sieve binary")
+    expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils
+
+    def test(column: Column) -> Column:
+        may = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(expressions.expression(held.scalar()._jc), expressions.expression(column._jc))
+        return F.coalesce(Column(expressions.column(may)), F.lit(False))
+
+    return test
+
+
+def without(rows: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """rows but for those whose columns `on` are a row of gone; gone is read from files.
+
+    Rows that a sieve rules out stay where they are; only the others are shuffled.
+    """
+    key = F.xxhash64(*on)
+    may = sieve(gone.select(key.alias("key")))(key)
+    return rows.where(~may).unionByName(rows.where(may).join(gone.select(*on), on, "left_anti"))
 
 
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
