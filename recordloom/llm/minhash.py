@@ -6,7 +6,7 @@ and the key of table (i, j) combines sub-key i of one collection with sub-key j
 of the other: m*m tables.  A pair of Jaccard similarity s meets in some table
 with probability (1 - (1 - s**r)**m)**2.  With r=3 and m=13, that is 78
 minhashes for 169 tables of 6: 0.917 at 0.6, 0.992 at 0.7, 0.9998 at 0.8, and
-0.0002 at 0.1.
+0.0002 at 0.1.  Only the sub-keys are stored with a text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
-from recordloom.llm.common import connected_components, save, shuffle_partitions, union_find
+from recordloom.llm.common import as_scan, connected_components, free_name, save, shuffle_partitions, sieve, union_find, without
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
@@ -36,74 +36,113 @@ def minhashes(shingles: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def table_keys(sig: np.ndarray, r: int, m: int) -> np.ndarray:
-    """Keys of the m*m tables of every row, from 2*r*m minhashes."""
+def sub_keys(sig: np.ndarray, r: int, m: int) -> np.ndarray:
+    """The m sub-keys of both collections of every row, from 2*r*m minhashes."""
     with np.errstate(over="ignore"):
         sub = np.zeros((len(sig), 2 * m), dtype=np.uint64)
         for k in range(r):
             sub = T.mix(sub * np.uint64(31) + sig[:, k * 2 * m : (k + 1) * 2 * m] + np.uint64(k + 1))
+        return sub
+
+
+def table_keys(sub: np.ndarray, m: int) -> np.ndarray:
+    """Keys of the m*m tables of every row, from its sub-keys."""
+    with np.errstate(over="ignore"):
         table = np.arange(m * m, dtype=np.uint64).reshape(1, m, m)
-        return T.mix(sub[:, :m, None] + sub[:, None, m:] * np.uint64(0x9E3779B1) + table).reshape(len(sig), m * m)
+        return T.mix(sub[:, :m, None] + sub[:, None, m:] * np.uint64(0x9E3779B1) + table).reshape(len(sub), m * m)
 
 
-def _emit(width: int, r: int, m: int, buckets: int, hold: int = 2_000_000):
-    """mapInArrow: (id, text) to (bucket, payload), payload being the (key, id) pairs of one bucket."""
+def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the set of values of every row (rows must not be empty)."""
+    size = np.diff(offsets).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return tuple(T.mix(np.add.reduceat(T.mix(values ^ salt), offsets[:-1]) + size) for salt in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)))
 
-    def pack(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, own = np.concatenate(keys), np.concatenate(ids)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        pairs = np.stack([key[order], own[order].view(np.uint64)], axis=1)
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        blobs = pa.array([pairs[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blobs], names=["bucket", "payload"])
+
+def _signatures(width: int, r: int, m: int):
+    """mapInArrow: (id, file, row, text) to what stands for a text: hashes and size of its set of shingles, and its sub-keys."""
+    names = ["id", "file", "row", "node", "twin", "size", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
         for batch in batches:
-            column, own = T.as_large(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+            column = T.as_large(batch.column(3))
             for i, j in T.pieces(column):
                 h, at = T.word_hashes(column.slice(i, j - i))
-                s, at = T.shingles(h, at, width)
+                d, at = T.distinct(*T.shingles(h, at, width))
                 some = np.flatnonzero(np.diff(at))
                 if not len(some):
                     continue
-                sig = minhashes(s, np.concatenate([at[some], at[-1:]]), 2 * r * m)
-                k = table_keys(sig, r, m)
-                keys.append(k.ravel())
-                ids.append(np.repeat(own[i:j][some].astype(np.int64), m * m))
-                held += k.size
+                cut = np.concatenate([at[some], at[-1:]])
+                node, twin = set_hashes(d, cut)
+                keys = sub_keys(minhashes(d, cut, 2 * r * m), r, m)
+                place = [batch.column(c).slice(i, j - i).take(pa.array(some)) for c in range(3)]
+                own = [pa.array(node.view(np.int64)), pa.array(twin.view(np.int64)), pa.array(np.diff(cut).astype(np.int64)), pa.array([x.tobytes() for x in keys], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*place, *own], names=names)
+
+    return run
+
+
+def _emit(m: int, cells: int, hold: int = 2_000_000):
+    """mapInArrow: (node, keys) to (cell, payload), payload being the (table key, node) pairs of one cell; texts that are alike in one task count once."""
+
+    def pack(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own, first = np.unique(np.concatenate(nodes), return_index=True)
+        key = table_keys(np.concatenate(keys)[first], m).ravel()
+        own = np.repeat(own, m * m)
+        cell = (key % np.uint64(cells)).astype(np.int32)
+        order = np.argsort(cell, kind="stable")
+        pairs = np.stack([key[order], own[order].view(np.uint64)], axis=1)
+        cell = cell[order]
+        at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+        blobs = pa.array([pairs[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(cell[at[:-1]]), blobs], names=["cell", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys, held = [], [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, hold // (m * m)):
+                part = batch.slice(i, hold // (m * m))
+                nodes.append(part.column("node").to_numpy(zero_copy_only=False))
+                keys.append(np.frombuffer(b"".join(part.column("keys").to_pylist()), dtype=np.uint64).reshape(-1, 2 * m))
+                held += part.num_rows * m * m
                 if held >= hold:
-                    yield from pack(keys, ids)
-                    keys, ids, held = [], [], 0
-        if keys:
-            yield from pack(keys, ids)
+                    yield from pack(nodes, keys)
+                    nodes, keys, held = [], [], 0
+        if held:
+            yield from pack(nodes, keys)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of some buckets to a star for every set of ids that tables connect."""
-    parts = [np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for b in batches for x in b.column("payload").to_pylist()]
-    if not parts:
-        return
-    pairs = np.concatenate(parts)
-    del parts
+    """Rows that are sorted by cell to a star for every set of nodes that the tables of one cell connect; holds one cell at a time."""
+    cell, held = None, []
+    for batch in batches:
+        for own, payload in zip(batch.column("cell").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            if own != cell and held:
+                yield from _stars(held)
+                held = []
+            cell = own
+            held.append(payload)
+    if held:
+        yield from _stars(held)
+
+
+def _stars(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    pairs = np.frombuffer(b"".join(payloads), dtype=np.uint64).reshape(-1, 2)
     order = np.argsort(pairs[:, 0], kind="stable")
     key, own = pairs[order, 0], pairs[order, 1].view(np.int64)
     same = np.flatnonzero(key[1:] == key[:-1])
     u, v = own[same], own[same + 1]
     differ = u != v
-    if not differ.any():
-        return
-    node, root = union_find(u[differ], v[differ])
-    keep = node != root
-    yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["u", "v"])
+    if differ.any():
+        node, root = union_find(u[differ], v[differ])
+        keep = node != root
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["u", "v"])
 
 
 def _sets(width: int):
-    """mapInArrow: append the distinct shingle hashes of text, 8 bytes each, and drop text."""
+    """mapInArrow: (node, part, block, text) with the distinct shingle hashes of text, 8 bytes each, in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +151,8 @@ def _sets(width: int):
                 h, at = T.word_hashes(column.slice(i, j - i))
                 d, at = T.distinct(*T.shingles(h, at, width))
                 blobs = [d[at[k] : at[k + 1]].tobytes() for k in range(j - i)]
-                rest = [batch.column(c).slice(i, j - i) for c in ("id", "part", "a", "b")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], names=["id", "part", "a", "b", "shingles"])
+                rest = [batch.column(c).slice(i, j - i) for c in ("node", "part", "block")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], names=["node", "part", "block", "shingles"])
 
     return run
 
@@ -155,10 +194,10 @@ def similar_groups(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """applyInArrow: the documents of one block pair to star edges between those that are truly similar."""
+    """applyInArrow: the texts of one task to star edges between those that are truly similar."""
 
     def run(table: pa.Table) -> pa.Table:
-        own, first = np.unique(table.column("id").to_numpy(), return_index=True)
+        own, first = np.unique(table.column("node").to_numpy(), return_index=True)
         blobs = table.column("shingles").take(pa.array(first)).to_pylist()
         label = similar_groups([np.frombuffer(x, dtype=np.uint64) for x in blobs], threshold)
         keep = label != np.arange(len(own))
@@ -167,6 +206,26 @@ def _verify(threshold: float):
     return run
 
 
+def _cross_blocks(sets: DataFrame, placed: DataFrame, edges: DataFrame, block_docs: int, threshold: float) -> DataFrame:
+    """Edges between the blocks of the parts that have several.
+
+    What the blocks found so far makes groups; the members of the largest group
+    of a part need no comparison with each other.  The other texts of the part
+    are compared with all of its blocks, block_docs of them at a time.
+    """
+    wide = placed.where("blocks > 1").select("node", "part", "block", "blocks")
+    group = connected_components(edges)
+    own = save(wide.join(group, "node", "left").select("node", "part", "block", "blocks", F.coalesce("component", "node").alias("group")), "blocks")
+    largest = own.groupBy("part", "group").agg(F.count("*").alias("n")).groupBy("part").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
+    others = own.join(largest, "part").where("`group` <> largest")
+    rounds = F.ceil(F.count("*") / F.lit(block_docs)).cast("int").alias("rounds")
+    sized = own.join(others.groupBy("part").agg(rounds), "part")
+    all_rounds = sized.select("node", "part", "block", F.explode(F.expr("sequence(0, rounds - 1)")).alias("round"))
+    other = others.select("node").join(sized, "node").select("node", "part", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rounds")).cast("int").alias("round"))
+    tasks = all_rounds.union(other).distinct()
+    return sets.select("node", "shingles").join(tasks, "node").groupBy("part", "block", "round").applyInArrow(_verify(threshold), "u long, v long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -176,43 +235,68 @@ def near_duplicates(
     r: int = 3,
     m: int = 13,
     block_docs: int = 20_000,
+    block_shingles: int = 4_000_000,
 ) -> DataFrame:
-    """Groups of near duplicates: (doc_id, duplicate_of), a row for every document but the one of each group that stays.
+    """Groups of near duplicates: (doc_id, duplicate_of, file, row), a row for every document but the one of each group that stays.
+
+    docs should be a plain scan of Parquet files; anything else is first written
+    to the shared folder.  Two texts are near duplicates where the Jaccard
+    similarity of their sets of width-word shingles is at least threshold, and
+    groups are the connected components of that relation.  The smallest id of a
+    group stays, of rows that share it the first by file and row.
 
-    Two documents are near duplicates where the Jaccard similarity of their sets
-    of width-word shingles is at least threshold, and groups are the connected
-    components of that relation; the smallest id of a group stays.  Tensored
-    banding proposes candidates, connected candidates come together in one task
-    (above block_docs documents, in one task for each pair of blocks of them),
-    and there every pair that could extend a group is verified exactly.
+    Texts of one set of shingles are one node from the start, however many they
+    are.  Tensored banding proposes candidates among the nodes, connected
+    candidates come together in one task, and there every pair that could extend
+    a group is verified exactly.  Where they are more than block_docs or
+    block_shingles, each block is a task, and afterwards the texts outside of the
+    largest group are compared with the other blocks.
 
     Null or wordless text, and a null id, are never in a group.  A text of fewer
-    words than width has one shingle of all its words.  Rows that share an id are
-    one document, with the shingles of one of its rows that is picked arbitrarily
-    when their texts differ.  Other columns are ignored whatever their names.
-    An empty table gives an empty result.
+    words than width has one shingle of all its words; a very long text counts
+    with all its shingles.  Rows that share an id are documents of their own, as
+    are rows that repeat in full.  Other columns are ignored whatever their
+    names.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    docs = as_scan(docs)
+    own = docs.select(docs[id_col].cast("long").alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), docs[text_col].alias("text"))
+    own = own.where("id is not null and text is not null")
+    signed = save(own.mapInArrow(_signatures(width, r, m), "id long, file string, row long, node long, twin long, size long, keys binary"), "signatures")
     buckets = shuffle_partitions(spark)
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null and text is not null")
-    met = own.mapInArrow(_emit(width, r, m, buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_meet, "u long, v long")
-    groups = save(connected_components(met), "candidates")
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
-    blocks = F.ceil(F.col("n") / F.lit(block_docs)).cast("int")
-    placed = sized.select(F.col("node").alias("id"), F.col("component").alias("part"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    texts = own.hint("merge").join(placed, "id").select("id", "part", "blocks", "block", "text")
-    placed_sets = (
-        texts.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .where("blocks = 1 or block <> other")
-        .select("id", "part", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "text")
-        .mapInArrow(_sets(width), "id long, part long, a int, b int, shingles binary")
-    )
-    similar = placed_sets.groupBy("part", "a", "b").applyInArrow(_verify(threshold), "u long, v long")
-    final = connected_components(similar)
-    return final.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("duplicate_of"))
+    cells = max(buckets, -(-signed.count() * m * m // 2_000_000))
+    met = signed.select("node", "keys").mapInArrow(_emit(m, cells), "cell int, payload binary").repartitionById(buckets, F.pmod("cell", F.lit(buckets)).cast("int")).sortWithinPartitions("cell")
+    groups = save(connected_components(met.mapInArrow(_meet, "u long, v long")), "candidates")
+
+    first = F.min(F.struct("id", "file", "row")).alias("first")
+    nodes = save(signed.groupBy("node").agg(first, F.min("twin").alias("twin"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
+    found = groups.join(nodes, "node").select("node", "component", "size", "first")
+    volume = found.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(block_docs)), F.ceil(F.sum("size") / F.lit(block_shingles))).cast("int").alias("blocks"))
+    placed = found.join(volume, "component").select("node", F.col("component").alias("part"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), "first.file", "first.row")
+    placed = save(placed, "placed")
+    may = sieve(placed.select(F.xxhash64("file", "row").alias("key")))
+    texts = own.select("file", "row", "text").where(may(F.xxhash64("file", "row"))).hint("merge").join(placed, ["file", "row"]).select("node", "part", "block", "text")
+    sets = texts.mapInArrow(_sets(width), "node long, part long, block int, shingles binary")
+    several = placed.where("blocks > 1").head(1)
+    if several:
+        sets = save(sets, "sets")
+    edges = sets.groupBy("part", "block").applyInArrow(_verify(threshold), "u long, v long")
+    if several:
+        edges = save(edges, "similar")
+        edges = edges.unionByName(_cross_blocks(sets, placed, edges, block_docs, threshold))
+    final = connected_components(edges)
+
+    grouped = nodes.join(final, "node", "left").select("node", "twin", "first", "n", F.coalesce("component", "node").alias("part"))
+    kept = grouped.groupBy("part").agg(F.min("first").alias("kept"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    members = grouped.join(kept, "part").select("node", "twin", "kept")
+    rows = signed.select("node", "twin", F.struct("id", "file", "row").alias("own")).join(members, ["node", "twin"]).where("own <> kept")
+    return rows.select(F.col("own.id").alias("doc_id"), F.col("kept.id").alias("duplicate_of"), F.col("own.file").alias("file"), F.col("own.row").alias("row"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
-    """docs with one document of each group of near_duplicates(); all columns as they are, null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).select(F.col("doc_id").alias("__gone"))
-    return docs.hint("merge").join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """docs without the rows that near_duplicates() returns, which also says what counts as one; all columns as they are."""
+    docs = as_scan(docs)
+    file, row = free_name(docs, "__at_file"), free_name(docs, "__at_row")
+    gone = save(near_duplicates(docs, id_col, text_col, threshold).select(F.col("file").alias(file), F.col("row").alias(row)), "near")
+    marked = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    return without(marked, gone, [file, row]).drop(file, row)
