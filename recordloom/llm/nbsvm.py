@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from recordloom.llm import text as T
-from recordloom.llm.common import free_name, save
+from recordloom.llm.common import free_name, save, sieve
 
 #: Buckets of hashed features; the lower half are words, the upper half all others.
 BUCKETS = 1 << 18
@@ -208,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     sample = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).distinct().withColumn("sampled", F.lit(True))
     own = own.join(sample, "id", "left").fillna({"sampled": False})
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    found = save(texts.hint("merge").join(own, "id").select("text", "quality", "toxic", "sampled").mapInArrow(_count, "chunk int, quality int, toxic int, payload binary"), "nbsvm")
+    may = sieve(save(own.select(F.xxhash64("id").alias("key")).distinct(), "labelled"))
+    found = save(texts.where(may(F.xxhash64("id"))).hint("merge").join(own, "id").select("text", "quality", "toxic", "sampled").mapInArrow(_count, "chunk int, quality int, toxic int, payload binary"), "nbsvm")
     sums = {x.chunk: np.frombuffer(bytes(x.payload), dtype=np.int64) for x in found.where("chunk > -2").select("chunk", "payload").groupBy("chunk").applyInArrow(_total, "chunk int, payload binary").collect()}
     if not sums:
         return Model(None, None)
