@@ -12,7 +12,7 @@ subsequence of their words and by whether the item's answer is there as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
-from recordloom.llm.common import save
+from recordloom.llm.common import as_scan, free_name, save, without
 
 _BITS = 14
 _D = 1 << _BITS
@@ -36,7 +36,9 @@ class Params:
     A window is contaminated by an item if the longest common subsequence has at
     least `certain` of the item's words, or at least `likely` of them with the
     answer found.  An item's answer is its column `answer` where there is one,
-    else its last answer_words words.
+    else its last answer_words words.  A pass over the corpus searches items of
+    words_per_pass words together (a longer item has its own pass), so that what
+    it sends to the tasks is bounded; there are as many passes as items need.
     """
 
     rank: int = 56
@@ -46,7 +48,7 @@ class Params:
     likely: float = 0.55
     answer_words: int = 6
     answer_found: float = 0.8
-    items_per_pass: int = 20_000
+    words_per_pass: int = 1_000_000
 
 
 def _pack(docs_id: pa.Array, hashes: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -219,16 +221,30 @@ def latent_vectors(spark: SparkSession, hashed: DataFrame, p: Params) -> np.ndar
 class Patterns:
     """Word sequences, ready to be matched with many stretches of text at once.
 
-    In blocks, each word of the block's vocabulary has a bit mask of its places
-    in each sequence, 64 places a table.
+    Sequences of up to `tabled` words are in blocks, in which each word of the
+    block's vocabulary has a bit mask of its places in each sequence, 64 places a
+    table; longer ones are matched one by one, without tables, whose size would
+    be quadratic.
     """
 
-    def __init__(self, sequences: list[np.ndarray], block: int = 128):
-        self.sequences, self.block = sequences, block
+    def __init__(self, sequences: list[np.ndarray], block: int = 64, block_words: int = 8192, tabled: int = 256):
+        self.sequences = sequences
         self.size = np.array([len(x) for x in sequences], dtype=np.int64)
+        self.block_of, self.slot = np.full(len(sequences), -1), np.zeros(len(sequences), dtype=np.int64)
+        members: list[list[int]] = []
+        held = 0
+        for k, n in enumerate(self.size.tolist()):
+            if n > tabled:
+                continue
+            if not members or len(members[-1]) == block or held + n > block_words:
+                members.append([])
+                held = 0
+            self.block_of[k], self.slot[k] = len(members) - 1, len(members[-1])
+            members[-1].append(k)
+            held += n
         self.blocks: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        for a in range(0, len(sequences), block):
-            own = sequences[a : a + block]
+        for ids in members:
+            own = [sequences[k] for k in ids]
             vocabulary = np.unique(np.concatenate(own))
             tables = [np.zeros((len(own), len(vocabulary) + 1), dtype=np.uint64) for _ in range(-(-max(map(len, own)) // 64))]
             for k, x in enumerate(own):
@@ -246,9 +262,16 @@ class Patterns:
         the length and settles that it is too short.
         """
         out = np.zeros(len(owner), dtype=np.int64)
-        for b in np.unique(owner // self.block):
+        for k in np.flatnonzero(self.block_of[owner] < 0):
+            own, stretch = self.sequences[owner[k]], words[start[k] : stop[k]]
+            out[k] = np.isin(own, stretch).sum()
+            if out[k] >= least * len(own) - 1e-9:
+                out[k] = _lcs_long(own, stretch)
+        for b in np.unique(self.block_of[owner]):
+            if b < 0:
+                continue
             vocabulary, tables = self.blocks[b]
-            mine = np.flatnonzero(owner // self.block == b)
+            mine = np.flatnonzero(self.block_of[owner] == b)
             first = start[mine]
             text = words
             if int((stop[mine] - first).sum()) < len(words) // 2:  # few stretches: look up their words only
@@ -263,17 +286,17 @@ class Patterns:
             while i < len(mine):
                 j = slice(i, i + max(1, min(2048, (1 << 19) // max(1, int(last[i] - first[i])))))
                 i = j.stop
-                out[mine[j]] = self._match(b, tables, ids, text, owner[mine[j]], first[j], last[j], least)
+                out[mine[j]] = self._match(tables, ids, text, owner[mine[j]], first[j], last[j], least)
         return out
 
-    def _match(self, b: int, tables: list[np.ndarray], ids: np.ndarray, words: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, least: float) -> np.ndarray:
+    def _match(self, tables: list[np.ndarray], ids: np.ndarray, words: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, least: float) -> np.ndarray:
         length = stop - start
         width = int(max(length.max(), 1))
         none = tables[0].shape[1] - 1
         own = np.lib.stride_tricks.sliding_window_view(np.append(ids, np.full(width, none, dtype=ids.dtype)), width)[start]
         if length.min() < width:
             own[np.arange(width) >= length[:, None]] = none
-        own += ((owner - b * self.block) * (none + 1)).astype(ids.dtype)[:, None]
+        own += (self.slot[owner] * (none + 1)).astype(ids.dtype)[:, None]
         masks = tables[0].take(own)
         out = np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)).astype(np.int64)
         for table in tables[1:]:
@@ -431,10 +454,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     """(doc_id, item_id, cosine, lcs, answer): documents that hold a benchmark item or a paraphrase of it.
 
     lcs is the share of the item's words in the longest common subsequence with
-    the best window of the document, answer whether its answer is there too.
+    the best window of the document, answer whether its answer is there too.  Of
+    equally good windows the one of the largest cosine counts, then the first.
 
     Null ids and null or wordless texts, of documents and of items, match
-    nothing; a text that is shorter than a window is one window.  Rows that
+    nothing; a text that is shorter than a window is one window, and a very long
+    text or item is searched in all its windows.  Rows that
     repeat a document id give rows that repeat.  Other columns are ignored
     whatever their names, but for a column `answer` of the benchmark.  An empty
     table on either side gives an empty result.
@@ -451,26 +476,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
         return out
     held = spark.sparkContext.broadcast(vectors.astype(np.float32))
     words = hashed.where("part is null")
-
-    def find(rows: list[tuple[int, str, str | None]]) -> DataFrame | None:
+    parts = 0
+    for rows in _passes(items.toLocalIterator(), p.words_per_pass):
         groups = prepare_items(rows, vectors, p)
-        return words.mapInArrow(_search(spark.sparkContext.broadcast(groups), held, p), kind) if groups else None
+        if groups:
+            found = words.mapInArrow(_search(spark.sparkContext.broadcast(groups), held, p), kind)
+            parts += 1
+            # what a benchmark of many passes finds is written pass by pass, so that the driver holds one pass
+            out = out.unionByName(found if parts == 1 else save(found, "found"))
+    return out
+
 
+def _passes(items: Iterable, most: int) -> Iterator[list[tuple[int, str, str | None]]]:
+    """Items in order, of at most `most` words together; an item that has more is alone."""
     rows: list[tuple[int, str, str | None]] = []
-    parts = []
-    for x in items.toLocalIterator():
+    held = 0
+    for x in items:
+        n = len(x.text) // 2 + 1  # words have a letter and a separator at least
+        if rows and held + n > most:
+            yield rows
+            rows, held = [], 0
         rows.append((x.item_id, x.text, x.answer))
-        if len(rows) == p.items_per_pass:
-            parts.append(find(rows))
-            rows = []
+        held += n
     if rows:
-        parts.append(find(rows))
-    for part in parts:
-        out = out if part is None else out.unionByName(part)
-    return out
+        yield rows
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that contaminated() finds; all columns as they are.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), id_col: str = "doc_id") -> DataFrame:
-    """docs without those that contaminated() finds; all columns as they are, null ids stay."""
-    gone = contaminated(docs, benchmark, params, id_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.hint("merge").join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    Rows are judged each by itself, so of rows that share an id the clean ones
+    stay; rows of null ids are judged like others.
+    """
+    docs = as_scan(docs)
+    at = free_name(docs, "__at")
+    marked = docs.withColumn(at, F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    gone = contaminated(marked.select(F.col(at).alias("doc_id"), F.col(text_col).alias("text")), benchmark, params).select(F.col("doc_id").alias(at)).distinct()
+    return without(marked, save(gone, "contaminated"), [at]).drop(at)

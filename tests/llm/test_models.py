@@ -7,7 +7,7 @@ import pytest
 
 from recordloom.llm import decontam, nbsvm, pii
 from recordloom.llm import text as T
-from tests.llm.helpers import docs, empty, hard, prose, row
+from tests.llm.helpers import SCHEMA, docs, empty, hard, prose, row
 
 
 def labelled(spark, n=400, seed=1):
@@ -94,8 +94,9 @@ def test_lcs_kernel_against_the_textbook():
     owner = rng.integers(0, 5, 60)
     start = rng.integers(0, 380, 60)
     stop = start + rng.integers(0, 20, 60)
-    got = decontam.Patterns(patterns, block=2).lcs(owner, words, start, np.minimum(stop, 400))
-    assert got.tolist() == [lcs(patterns[o].tolist(), words[a : min(b, 400)].tolist()) for o, a, b in zip(owner, start, stop, strict=True)]
+    want = [lcs(patterns[o].tolist(), words[a : min(b, 400)].tolist()) for o, a, b in zip(owner, start, stop, strict=True)]
+    for p in (decontam.Patterns(patterns, block=2), decontam.Patterns(patterns, tabled=40), decontam.Patterns(patterns, block_words=70)):
+        assert p.lcs(owner, words, start, np.minimum(stop, 400)).tolist() == want
 
 
 def planted(seed=7, n=60):
@@ -125,10 +126,20 @@ def test_contamination_against_planted_and_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(60)) - {d for d, _ in truth}
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    rng = random.Random(3)
+    item, clean = prose(rng, 40), prose(rng, 90)
+    rows = [row(1, clean), row(1, f"{clean} {item}"), row(None, item), row(None, prose(rng, 50)), row(2, prose(rng, 80))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    kept = decontam.decontaminate(frame, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == frame.columns
+    assert sorted(r.text for r in kept.collect()) == sorted([clean, rows[3][1], rows[4][1]])
+
+
 def test_contamination_in_passes_and_with_answers(spark):
     items, texts, truth = planted()
     benchmark = spark.createDataFrame([(k, t, "answer words") for k, t in enumerate(items)], "item_id long, text string, answer string")
-    p = decontam.Params(items_per_pass=5)
+    p = decontam.Params(words_per_pass=700)
     got = {(r.doc_id, r.item_id, r.answer) for r in decontam.contaminated(docs(spark, texts), benchmark, p).collect()}
     assert {x[:2] for x in got} == truth and not any(x[2] for x in got)
 
@@ -184,6 +195,40 @@ def test_every_word_of_a_document_is_in_a_window(monkeypatch):
         assert {int(x) for x in pads[0][1]} <= at
 
 
+def every_window(texts, items, p=decontam.Params()):
+    """Pairs by the textbook: every stretch of a document against every item, without search, window or bound."""
+    found = set()
+    for i, item in enumerate(items):
+        own = T.words(item)
+        answer = own[-p.answer_words :]
+        for d, text in enumerate(texts):
+            words = T.words(text)
+            # a stretch of twice the item, starting anywhere
+            for at in range(0, max(1, len(words) - len(own) // 2), max(1, len(own) // 10)):
+                stretch = words[at : at + 2 * len(own)]
+                share = decontam._lcs_long(np.array(own, dtype=object), np.array(stretch, dtype=object)) / len(own)
+                if share >= p.certain or (share >= p.likely and lcs(answer, stretch) >= p.answer_found * len(answer)):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def test_search_against_every_window(spark):
+    rng = random.Random(31)
+    items = [prose(rng, n) for n in (12, 25, 40, 64, 100, 300, 900, 2500, 5000)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        words = item.split()
+        copy = [words, [w if rng.random() > 0.25 else prose(rng, 1) for w in words], [w for w in words if rng.random() > 0.5]][k // len(items)]
+        texts.append(" ".join([prose(rng, rng.randint(0, 200)), *copy, prose(rng, rng.randint(0, 200))]))
+    texts += [prose(rng, rng.randint(5, 3000)) for _ in range(10)] + items[:3]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs(spark, texts), benchmark).collect()}
+    want = every_window(texts, items)
+    assert {(k, k) for k in range(9)} <= want
+    assert got == want
+
+
 def test_contamination_of_long_items(spark):
     rng = random.Random(12)
     items = [prose(rng, n) for n in (200, 400, 1000)]
