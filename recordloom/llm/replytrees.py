@@ -16,7 +16,12 @@ from recordloom.llm.common import save
 _BEGIN, _END = "<|im_start|>", "<|im_end|>"
 
 
-def nodes_of(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, parent_col: str | None) -> DataFrame:
+def escaped(text: F.Column) -> F.Column:
+    """text in which no control token of the format can be read: each <| gets a space between its characters."""
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def nodes_of(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, parent_col: str | None, score_col: str | None = None) -> DataFrame:
     """(conv, node, parent, turn, role, text, score), a row for every distinct turn; see conversations()."""
     own = turns.select(
         F.col(conv_col).alias("conv"),
@@ -24,9 +29,10 @@ def nodes_of(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text
         F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         (F.col(parent_col).cast("long") if parent_col else F.lit(None).cast("long")).alias("reply_to"),
+        (F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(None).cast("double")).alias("given"),
     ).where("conv is not null").distinct()
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text", F.col("reply_to").asc_nulls_first())
-    own = own.withColumn("node", F.row_number().over(order).cast("long")).withColumn("score", F.length("text").cast("long"))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text", F.col("reply_to").asc_nulls_first(), "given")
+    own = own.withColumn("node", F.row_number().over(order).cast("long")).withColumn("score", F.col("given") if score_col else F.length("text").cast("long"))
     if parent_col:
         # several rows may share a turn number: replies to it hang on the first of them
         first = own.where("turn is not null").groupBy("conv", "turn").agg(F.min("node").alias("parent")).withColumnRenamed("turn", "reply_to")
@@ -37,24 +43,40 @@ def nodes_of(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     return own.withColumn("parent", F.last("turned", ignorenulls=True).over(before)).select("conv", "node", "parent", "turn", "role", "text", "score")
 
 
-def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """(conv, root, leaf, path, score) of every root-to-leaf path of nodes (conv, node, parent, score).
 
-    Nodes on or below a cycle have no root, so they are on no path.
+    Paths grow from the leaves by self-joins.  In round k an inner node knows the
+    2^k nodes from itself upwards (its hop), and every path that is not at its
+    root yet takes the hop of the node above it.  Paths that are done are not
+    joined again.  Nodes on or below a cycle have no root, so they are on no path.
     """
     inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
-    leaves = nodes.join(inner, ["conv", "node"], "left_anti").select("conv", "node")
-    known = save(nodes.select("conv", "node", F.col("parent").alias("up"), F.array("node").alias("path"), F.col("score").alias("total")), "paths")
-    for _ in range(max_rounds):
-        if not known.where("up is not null").head(1):
-            break
-        above = known.select("conv", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"), F.col("total").alias("more"))
-        longer = known.join(above, ["conv", "up"], "left").where("up is null or head is not null").select(
-            "conv", "node", F.col("next").alias("up"), F.concat(F.coalesce("head", F.array().cast("array<bigint>")), "path").alias("path"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")
-        )
+    tree = nodes.select("conv", "node", "parent", "score")
+    found = tree.join(inner, ["conv", "node"], "left_anti")
+    # open: paths by their leaf, from `up` (not on the path yet) down; hops: nodes with the piece of path above them
+    opened = save(found.select("conv", F.col("node").alias("leaf"), F.col("parent").alias("up"), F.array("node").alias("path"), F.col("score").alias("total")), "open")
+    hops = tree.where("parent is not null").join(inner, ["conv", "node"]).select("conv", "node", F.col("parent").alias("next"), F.array("node").alias("piece"), F.col("score").alias("more"))
+    roots = tree.where("parent is null").join(inner, ["conv", "node"]).select("conv", "node", F.lit(None).cast("long").alias("next"), F.array("node").alias("piece"), F.col("score").alias("more"))
+    hops = save(hops.unionByName(roots), "hops")
+    done = [opened.where("up is null")]
+    opened = opened.where("up is not null")
+    while opened.head(1):
+        step = hops.select("conv", F.col("node").alias("up"), "next", "piece", "more")
+        longer = opened.join(step, ["conv", "up"]).select("conv", "leaf", F.col("next").alias("up"), F.concat("piece", "path").alias("path"), (F.col("total") + F.col("more")).alias("total"))
         # a path with a node twice runs in a cycle
-        known = save(longer.where("size(path) = size(array_distinct(path))"), "paths")
-    return known.where("up is null").join(leaves, ["conv", "node"]).select("conv", F.element_at("path", 1).alias("root"), F.col("node").alias("leaf"), "path", F.col("total").alias("score"))
+        longer = save(longer.where("size(path) = size(array_distinct(path))"), "open")
+        done.append(longer.where("up is null"))
+        opened = longer.where("up is not null")
+        # pieces that end at a root stay as they are; of the others, only those that an open path can still meet
+        far = hops.select("conv", F.col("node").alias("next"), F.col("next").alias("beyond"), F.col("piece").alias("head"), F.col("more").alias("above"))
+        both = hops.where("next is not null").join(far, ["conv", "next"]).select("conv", "node", F.col("beyond").alias("next"), F.concat("head", "piece").alias("piece"), (F.col("more") + F.col("above")).alias("more"))
+        both = both.where("size(piece) = size(array_distinct(piece))")
+        hops = save(both.unionByName(hops.where("next is null")), "hops") if opened.head(1) else hops
+    every = done[0]
+    for part in done[1:]:
+        every = every.unionByName(part)
+    return every.select("conv", F.element_at("path", 1).alias("root"), "leaf", "path", F.col("total").alias("score"))
 
 
 def conversations(
@@ -65,6 +87,7 @@ def conversations(
     role_col: str = "role",
     text_col: str = "text",
     parent_col: str | None = None,
+    score_col: str | None = None,
 ) -> DataFrame:
     """The best branches of every reply tree: (conv_id, root, leaf, rank, score, n_turns, conversation).
 
@@ -72,21 +95,24 @@ def conversations(
     does not exist makes a root too).  Without it, a turn replies to the last
     turn before it that has another role, so neighbours of one role are
     alternative replies.  root and leaf are turns numbered from 1 by turn, role and
-    text within their conversation.  A branch scores the characters of its
-    texts; the `top` branches of every root stay, of equal scores the one with
-    the smaller leaf first, and each is formatted as one chat.
+    text within their conversation.  A branch scores the sum of score_col over
+    its turns, a null counting 0, or without it the characters of its texts; the
+    `top` branches of every root stay, of equal scores the one with the smaller
+    leaf first, and each is formatted as one chat.  A control token inside a role
+    or text is broken up by a space, so it can't end or begin a turn.
 
     Rows that repeat in full count once, and rows that share a turn number are
     alternatives or replies by the same rule.  A null role is "unknown", a null
     text empty, a null turn comes first, and rows with a null conversation are
-    left out, as are turns on or below a cycle of replies.  Other columns are
-    ignored whatever their names.  An empty table gives an empty result.
+    left out, as are turns on or below a cycle of replies.  A very long text is a
+    turn like any other.  Other columns are ignored whatever their names.  An
+    empty table gives an empty result.
     """
-    nodes = save(nodes_of(turns, conv_col, turn_col, role_col, text_col, parent_col), "turns")
+    nodes = save(nodes_of(turns, conv_col, turn_col, role_col, text_col, parent_col, score_col), "turns")
     ranked = paths(nodes.select("conv", "node", "parent", "score")).withColumn("rank", F.row_number().over(Window.partitionBy("conv", "root").orderBy(F.col("score").desc(), "leaf")))
     chosen = ranked.where(F.col("rank") <= top)
     steps = chosen.select("conv", "root", "leaf", "rank", F.col("score").alias("branch"), F.posexplode("path").alias("at", "node")).join(nodes, ["conv", "node"])
-    chat = F.concat(F.lit(_BEGIN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(f"{_END}\n"))
+    chat = F.concat(F.lit(_BEGIN), escaped(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(f"{_END}\n"))
     whole = steps.groupBy("conv", "root", "leaf", "rank", "branch").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("at", chat.alias("chat")))).alias("chats"))
     return whole.select(F.col("conv").alias("conv_id"), "root", "leaf", "rank", F.col("branch").alias("score"), "n_turns", F.array_join(F.col("chats.chat"), "").alias("conversation"))
 
@@ -103,9 +129,9 @@ WITH RECURSIVE own AS (
 ), nodes AS (
   SELECT *, last_value(turned IGNORE NULLS) OVER (PARTITION BY conv ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS parent FROM turned
 ), walk AS (
-  SELECT conv, node AS root, node, length(text) AS score, 1 AS n_turns, '{_BEGIN}' || role || chr(10) || text || '{_END}' || chr(10) AS conversation FROM nodes WHERE parent IS NULL
+  SELECT conv, node AS root, node, length(text) AS score, 1 AS n_turns, '{_BEGIN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{_END}' || chr(10) AS conversation FROM nodes WHERE parent IS NULL
   UNION ALL
-  SELECT w.conv, w.root, n.node, w.score + length(n.text), w.n_turns + 1, w.conversation || '{_BEGIN}' || n.role || chr(10) || n.text || '{_END}' || chr(10)
+  SELECT w.conv, w.root, n.node, w.score + length(n.text), w.n_turns + 1, w.conversation || '{_BEGIN}' || replace(n.role, '<|', '< |') || chr(10) || replace(n.text, '<|', '< |') || '{_END}' || chr(10)
   FROM walk w JOIN nodes n ON n.conv = w.conv AND n.parent = w.node
 ), branches AS (
   SELECT *, row_number() OVER (PARTITION BY conv, root ORDER BY score DESC, node) AS rank
