@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import connected_components, save
+from recordloom.llm.common import connected_components, save, sieve
 
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|msclkid"
 _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*>"""
@@ -58,14 +58,15 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return found.select("source", canonical(F.col("to")).alias("target")).where("source is not null and target is not null and source <> target")
 
 
-def _reach(form: str) -> F.Column:
-    """All rules that can match a canonical form: each suffix of its host, alone and with each prefix of its path."""
+def _reach(form: str, labels: int, segments: int) -> F.Column:
+    """The rules of at most `labels` labels and `segments` segments that can match a canonical form: each such suffix of its host, alone and with each such prefix of its path."""
     return F.expr(
-        f"""flatten(transform(
-          transform(sequence(1, size(split(substring_index(substring_index({form}, '/', 1), '?', 1), '[.]'))),
-            k -> array_join(slice(split(substring_index(substring_index({form}, '/', 1), '?', 1), '[.]'), k, 1000), '.')),
-          h -> transform(sequence(1, size(split(substring_index({form}, '?', 1), '/'))),
-            j -> if(j = 1, h, concat(h, '/', array_join(slice(split(substring_index({form}, '?', 1), '/'), 2, j - 1), '/'))))))"""
+        f"""transform(array(struct(
+            split(substring_index(substring_index({form}, '/', 1), '?', 1), '[.]') as host,
+            split(substring_index({form}, '?', 1), '/', {segments + 2}) as path)),
+          x -> flatten(transform(sequence(greatest(1, size(x.host) - {labels - 1}), size(x.host)),
+            k -> transform(sequence(1, least(size(x.path), {segments + 1})),
+              j -> if(j = 1, array_join(slice(x.host, k, size(x.host)), '.'), concat(array_join(slice(x.host, k, size(x.host)), '.'), '/', array_join(slice(x.path, 2, j - 1), '/')))))))[0]"""
     )
 
 
@@ -80,7 +81,8 @@ def decide(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = Non
 
     A page whose URL is null or has no host has a null class and the decision
     none; a null html has no links; pages that share a URL or repeat each have
-    their row; rules and redirects with nulls don't count.  Other columns are
+    their row; rules and redirects with nulls don't count; of a very long URL
+    only as many segments are looked up as the longest rule has.  Other columns are
     ignored whatever their names.  An empty table gives an empty result.
     """
     own = save(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), canonical(F.col(url_col)).alias("form")), "urls")
@@ -95,7 +97,13 @@ def decide(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = Non
     parts = connected_components(ends.select("u", "v"))
     forms = forms.join(parts, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
     clean = rules.select(canonical(F.col("rule")).alias("rule"), F.lower("action").alias("action")).where("rule is not null and action in ('allow', 'block')").distinct()
-    hits = forms.select("component", F.explode(_reach("form")).alias("rule")).join(clean, "rule").groupBy("component").agg(F.min("action").alias("decision"))
+    clean = save(clean, "rules")
+    host, path = F.split(F.substring_index("rule", "/", 1), "[.]"), F.split("rule", "/")
+    longest = clean.agg(F.max(F.size(host)), F.max(F.size(path) - 1)).first()
+    # what no rule says is dropped before the shuffle, so that a suffix which most hosts share is no hot key
+    may = sieve(clean.select(F.xxhash64("rule").alias("key")))
+    reached = forms.select("component", F.explode(_reach("form", longest[0] or 1, longest[1] or 0)).alias("rule")).where(may(F.xxhash64("rule")))
+    hits = reached.distinct().join(clean, "rule").groupBy("component").agg(F.min("action").alias("decision"))
     names = forms.groupBy("component").agg(F.min("form").alias("alias_class"))
     classes = forms.join(names, "component").join(hits, "component", "left").select("form", "alias_class", F.coalesce("decision", F.lit("none")).alias("decision"))
     return own.join(classes, "form", "left").select("page_id", "url", "alias_class", F.coalesce("decision", F.lit("none")).alias("decision"))

@@ -281,6 +281,19 @@ def test_url_classes_against_sql(spark):
     assert {r.decision for r in urlfilter.decide(pages, rules.where("false")).collect()} == {"none"}
 
 
+def test_long_urls_and_rules_of_any_depth(spark):
+    import time
+
+    deep = "/".join(f"p{k}" for k in range(3000))
+    rows = [(1, f"http://a.b.c.bad.org/{deep}"), (2, f"http://x.org/{deep}?q=1"), (3, "http://x.org/p0"), (4, f"http://{'.'.join(['h'] * 200)}.bad.org/"), (5, "http://x.org/p0x/p1"), (6, "http://org/p0/p1/p2/p3")]
+    pages = spark.createDataFrame([(k, u, None) for k, u in rows], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("bad.org", "block"), ("x.org/p0/p1/p2", "block"), ("c.bad.org/p0/p1", "allow")], "rule string, action string")
+    began = time.time()
+    got = {r.page_id: r.decision for r in urlfilter.decide(pages, rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "none", 4: "block", 5: "none", 6: "none"}
+    assert time.time() - began < 60
+
+
 def test_redirects_propagate_over_chains(spark):
     pages = spark.createDataFrame([(k, f"http://h{k}.com/", None) for k in range(20)], "page_id long, url string, html string")
     redirects = spark.createDataFrame([(f"http://h{k}.com", f"https://www.h{k + 1}.com/") for k in range(0, 9)] + [(None, "x.com")], "source string, target string")
