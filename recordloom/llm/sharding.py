@@ -20,7 +20,6 @@ from recordloom.llm.common import free_name, save
 BITS = 6
 #: Volume of a shard in characters of text.
 SHARD_CHARS = 64 << 20
-_SPREAD = 2_654_435_761
 
 
 def running_total(counts: DataFrame, key: str, value: str) -> DataFrame:
@@ -98,16 +97,27 @@ def curve_index(codes: list[F.Column], bits: int) -> F.Column:
     return F.aggregate(F.array(*[F.lit(k) for k in range(bits - 1, -1, -1)]), start, step)["h"]
 
 
-def shard(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "n_chars"), volume: str = "n_chars", id_col: str = "doc_id", bits: int = BITS, shard_volume: int = SHARD_CHARS) -> DataFrame:
+def shard(
+    docs: DataFrame,
+    dims: tuple[str, ...] = ("source", "lang", "n_chars"),
+    volume: str = "n_chars",
+    id_col: str = "doc_id",
+    bits: int = BITS,
+    shard_volume: int = SHARD_CHARS,
+    spread_by: tuple[str, ...] = ("text",),
+) -> DataFrame:
     """docs in the order of the curve, one partition (so one file) a shard, with columns `hilbert` and `shard`.
 
     A shard holds about shard_volume.  A cell that is larger than a shard is cut
-    by a fixed spread of its ids.  The result has one shuffle of whole rows; the
+    by a digest of the id and of the columns spread_by, so rows of one id or of
+    none are spread as well where their texts differ.  The result has one shuffle of whole rows; the
     table of cells that is broadcast has at most 2^(bits * dims) rows whatever
     the size of the data.
 
-    Null dimensions have code 0, a null volume counts 0, and a null id is spread
-    as id 0.  Rows that repeat stay together.  Where docs has columns of the
+    Ids may be of any type.  Null dimensions have code 0, a null volume counts 0,
+    and a null id or text is spread like an empty one; a very long text is a row
+    like any other.  Rows that repeat in full stay together; rows of one cell are
+    ordered by id.  Where docs has columns of the
     names hilbert or shard, the new ones get underscores in front.  An empty
     table gives an empty result.
     """
@@ -118,7 +128,8 @@ def shard(docs: DataFrame, dims: tuple[str, ...] = ("source", "lang", "n_chars")
     cell, size, before = (free_name(docs, x) for x in ("__cell", "__volume", "__before"))
     cells = placed.groupBy(F.col(hilbert).alias(cell)).agg(F.sum(weight).alias(size))
     cells = save(running_total(cells, cell, size).withColumnRenamed("before", before), "cells")
-    spread = F.shiftright((F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(1_048_573)) * F.lit(_SPREAD)) % F.lit(1 << 32), 16)
+    own = F.concat(*[F.concat(F.coalesce(docs[c].cast("string"), F.lit("")), F.lit("|")) for c in (id_col, *(c for c in spread_by if c in docs.columns))])
+    spread = F.conv(F.substring(F.md5(own), 1, 4), 16, 10).cast("long")
     place = F.col(before) + F.shiftright(F.col(size) * spread, 16)
     rows = placed.join(F.broadcast(cells), F.col(hilbert) == F.col(cell)).withColumn(number, F.floor(place / F.lit(shard_volume)).cast("int")).drop(cell, size, before)
     total = cells.agg(F.sum(size)).first()[0] or 0
@@ -148,6 +159,6 @@ WITH {codes}, {steps},
 cells AS (SELECT h, CAST(sum(n_chars) AS BIGINT) AS volume FROM s{bits} GROUP BY h),
 totals AS (SELECT h, volume, CAST(coalesce(sum(volume) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM cells)
 SELECT doc_id, text, lang, source, n_chars, h AS hilbert,
-  CAST((before + ((volume * ((((doc_id % 1048573) * {_SPREAD}) % 4294967296) >> 16)) >> 16)) // {shard_volume} AS INT) AS shard
+  CAST((before + ((volume * CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '') || '|'), 1, 4) AS BIGINT)) >> 16)) // {shard_volume} AS INT) AS shard
 FROM s{bits} JOIN totals USING (h)
 """

@@ -48,6 +48,11 @@ def test_shards_of_hard_rows(spark):
     out = sharding.shard(hard(spark))
     assert out.count() == hard(spark).count()
     assert out.columns == [*hard(spark).columns, "hilbert", "_shard"]
+    rng = random.Random(3)
+    for own in (F.col("text"), F.lit("one"), F.lit(None).cast("string")):  # ids of any type, one for all, or none
+        many = docs(spark, [prose(rng, 20) for _ in range(200)]).withColumn("doc_id", own)
+        sizes = [r["count"] for r in sharding.shard(many, shard_volume=2000).groupBy("_shard").count().collect()]
+        assert sum(sizes) == 200 and len(sizes) > 5 and max(sizes) < 60
     assert sharding.shard(empty(spark)).count() == 0
 
 
