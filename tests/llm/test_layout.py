@@ -59,7 +59,7 @@ def test_shards_of_hard_rows(spark):
 def test_tokens_round_trip(spark, tmp_path):
     texts = ["a   b", "", "  ", " lead", "don't  we'll 123abc!!! \n", "é日本語", "<|endoftext|>", None]
     out = tokens.write_orc(docs(spark, texts), f"{tmp_path}/orc", index_rows=1000)
-    encoding = tokens.tokenizer(tokens.VOCABULARY).encoding
+    encoding = tokens.tokenizer(tokens.rank_file(spark, tokens.VOCABULARY)).encoding
     got = {r.doc_id: r for r in out.collect()}
     for k, t in enumerate(texts):
         assert (got[k].token_ids is None) == (t is None)
@@ -307,7 +307,35 @@ def test_redirects_propagate_over_chains(spark):
     assert got == {k: "block" if k <= 9 else "allow" if k == 15 else "none" for k in range(20)}
 
 
-def test_tokenizer_counts_agree():
+def test_tokenizer_counts_agree(spark, tmp_path):
     column = pa.array(["a b", "", "hello  world"], pa.large_string())
-    t = tokens.tokenizer(tokens.VOCABULARY)
+    ranks = tokens.rank_file(spark, tokens.VOCABULARY)
+    t = tokens.tokenizer(ranks)
     assert t.count(column).tolist() == [len(x) for x in t.encode(column).to_pylist()]
+    (tmp_path / "ranks").write_bytes(ranks)
+    assert tokens.rank_file(spark, f"file://{tmp_path}/ranks") == ranks
+
+
+def merged(piece, ranks):
+    """The textbook: join the pair of neighbours of the least rank, the first of them, until none has a rank."""
+    parts = [piece[k : k + 1] for k in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], k) for k, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        k = min(pairs)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_token_ids_against_the_textbook(spark):
+    import base64
+
+    import regex
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, tokens.rank_file(spark, tokens.VOCABULARY).splitlines())}
+    rng = random.Random(9)
+    texts = [prose(rng, 40), "It's 12,345 é日本語 -- don't!!\n\n  x", "", "a" * 300, "\t\u00a0 mixed \u2003 spaces", None]
+    got = {r.doc_id: r for r in tokens.tokenised(docs(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        want = None if text is None else [i for piece in regex.findall(tokens.PATTERN, text) for i in merged(piece.encode(), ranks)]
+        assert got[k].token_ids == want and got[k].n_tokens == len(want or [])
