@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import save
+from recordloom.llm.common import as_scan, save
 from recordloom.llm.tokens import VOCABULARY, count_tokens
 
 
@@ -156,18 +156,20 @@ def pack(
     A document is its tokens and an end mark.  Documents of more than capacity
     are cut; the full pieces are sequences of their own and the last piece is
     packed with the other documents, start being its place in the document.
-    Pieces are dealt to shards of about shard_pieces by a hash of the document,
-    and each shard is packed by itself; more than that gains next to nothing,
+    Pieces are dealt to shards of about shard_pieces by a hash of the document
+    and of its row in its file, so an id that many rows share is spread, and each shard is packed by itself; more than that gains next to nothing,
     since a shard wastes less than one sequence beyond its volume bound.
 
-    Null texts and null ids are in no sequence; an empty text is an end mark.
+    Null texts and null ids are in no sequence; an empty text is an end mark; a
+    very long text fills as many sequences as it needs.
     Rows that repeat an id are packed each for itself.  Of pieces of one size,
     those of smaller ids come first.  An empty table gives an empty result.
     """
-    counted = save(count_tokens(docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()), id_col, text_col, vocabulary), "lengths")
+    known = as_scan(docs).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    counted = save(count_tokens(known, id_col, text_col, vocabulary, F.col("_metadata.row_index")), "lengths")
     n = counted.count()
     shards = max(1, -(-n // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(shards)).alias("shard")
 
     def run(table: pa.Table) -> pa.Table:
         ids, length = table.column("doc_id").to_numpy(), table.column("n_tokens").to_numpy() + 1

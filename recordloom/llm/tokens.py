@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
@@ -69,8 +69,8 @@ def tokenizer(ranks: bytes) -> Tokenizer:
     return _loaded[key]
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of every row.
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, salt: Column | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every row, and the BIGINT salt where one is given.
 
     A null or empty text has 0 tokens, a null id stays null, repeated rows
     repeat, and a very long text is encoded whole.  Other columns are ignored
@@ -82,9 +82,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = tokenizer(held.value)
         for batch in batches:
             n = own.count(T.as_large(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *batch.columns[2:]], names=["doc_id", "n_tokens", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if salt is None else [salt.cast("long").alias("salt")]))
+    return own.mapInArrow(run, "doc_id long, n_tokens long" + ("" if salt is None else ", salt long"))
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

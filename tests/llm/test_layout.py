@@ -185,6 +185,32 @@ def test_packing_covers_every_token_once(spark):
     assert len(bins) <= -(-sum(length.values()) // 128) + 4 * 3
 
 
+def test_completion_at_its_defaults_against_the_optimum():
+    rng = random.Random(17)
+    for _ in range(150):
+        sizes = sorted((rng.randint(15, 70) for _ in range(rng.randint(0, 11))), reverse=True)
+        assert len(packing.complete(sizes, 100)) == fewest(sizes, 100)
+    better = 0
+    for _ in range(30):  # pieces that fill 20 sequences exactly
+        sizes = []
+        for _ in range(20):
+            a, b = sorted(rng.sample(range(1, 4096), 2))
+            sizes += [a, b - a, 4096 - b]
+        sizes.sort(reverse=True)
+        bins = packing.complete(sizes, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) <= len(packing.best_fit(sizes, 4096))
+        better += len(bins) == 20
+    assert better >= 20
+
+
+def test_an_id_that_many_rows_share_is_spread_over_shards(spark):
+    rng = random.Random(8)
+    frame = docs(spark, [prose(rng, 30) for _ in range(300)]).withColumn("doc_id", F.lit(7).cast("long")).coalesce(1)
+    rows = packing.pack(frame, capacity=256, shard_pieces=30).collect()
+    assert len(rows) >= 300 and len({r.bin_id >> 32 for r in rows}) > 5
+
+
 def test_packing_of_hard_rows(spark):
     rows = packing.pack(hard(spark)).collect()
     assert {r.doc_id for r in rows} == {2, 3, 4, 5, 6, 7, 8, 9, 10, 11}
