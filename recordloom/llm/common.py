@@ -165,7 +165,7 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(r[keep])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000) -> DataFrame:
     """Components of an undirected graph: (node, component), component being its smallest node.
 
     edges has two BIGINT columns; loops and repeats are allowed, rows with a null
@@ -173,15 +173,15 @@ def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000, m
     Partitions first shrink their own edges to stars.  What is left is finished
     in one task where it has at most single_task_edges rows (measured, not
     guessed); beyond that, alternating large-star and small-star rounds run as
-    joins, each round written to the shared folder, until it is small enough or
-    nothing changes.  Both ways give the same exact result.
+    joins, each round written to the shared folder in place of the one before,
+    until it is small enough or nothing changes.  Both ways give the same exact result.
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     pairs = save(pairs.mapInArrow(contract, "u long, v long"), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         n, digest = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if n <= single_task_edges:
             break
@@ -196,7 +196,9 @@ def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000, m
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs = save(small.mapInArrow(contract, "u long, v long"), "edges")
+        smaller = save(small.mapInArrow(contract, "u long, v long"), "edges")
+        drop(spark, scan_roots(pairs)[0])
+        pairs = smaller
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]

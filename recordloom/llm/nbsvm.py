@@ -255,8 +255,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFr
 def quality_filter(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that both heads accept, with all their columns.
 
-    Null texts and texts without a single token are rejected.  Repeated rows are
-    scored alike.  Without any labels, or with one class of them only, a head
+    Null texts and texts without a single token are rejected; a null id is no
+    reason to.  A quality margin of exactly 0 is accepted, a toxicity margin of
+    exactly 0 is not.  Repeated rows are scored alike, and a very long text by all
+    its features.  Other columns pass through whatever their names.  Without any labels, or with one class of them only, a head
     accepts everything.  An empty table gives an empty result.
     """
     scored, name = score(docs, train(docs, labels, params, id_col, text_col), text_col)
@@ -264,6 +266,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, params: Params = Params()
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, quality_margin, toxicity_margin) of the documents that quality_filter() keeps."""
+    """(doc_id, quality_margin, toxicity_margin) of the documents that quality_filter() keeps, a row for each of their rows.
+
+    Nulls, ties, repeats, long texts and empty tables are as said there.
+    """
     scored, name = score(docs.select(id_col, text_col), train(docs, labels, params, id_col, text_col), text_col)
     return scored.where(F.col(f"{name}.keep")).select(F.col(id_col).alias("doc_id"), F.col(f"{name}.quality").alias("quality_margin"), F.col(f"{name}.toxicity").alias("toxicity_margin"))

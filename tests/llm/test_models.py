@@ -352,3 +352,52 @@ def test_pii_of_hard_rows(spark):
 
 def test_words_in_brute_force_agree():
     assert T.words("It's A-B é 9") == ["it", "s", "a", "b", "é", "9"]
+
+
+def brute_features(text):
+    """Feature buckets of one text by plain loops over its words and token shapes."""
+    half = nbsvm.BUCKETS // 2
+    h = T.word_hashes(pa.array([text], pa.large_string()))[0]
+    words = T.words(text)
+    assert len(words) == len(h)
+    own = {int(x) % half for x in h}
+    with np.errstate(over="ignore"):
+        own |= {int(T.mix(np.array([a * np.uint64(3) + b]))[0]) % half + half for a, b in zip(h[:-1], h[1:], strict=True)}
+        shapes = []
+        for token in text.split():
+            code = "".join("a" if c.islower() or ord(c) > 127 else "A" if c.isupper() else "9" if c.isdigit() else c for c in token)
+            code = "".join(c for k, c in enumerate(code) if k == 0 or code[k - 1] != c).encode()
+            shapes.append(T.span_hashes(np.frombuffer(code, dtype=np.uint8), np.array([0]), np.array([len(code)]))[0])
+        one, two = ([T.mix(np.array([s + np.uint64(k)]))[0] for s in shapes] for k in (7, 9))
+        own |= {int(x) % half + half for x in one}
+        own |= {int(T.mix(np.array([a * np.uint64(3) + b]))[0]) % half + half for a, b in zip(two[:-1], two[1:], strict=True)}
+    return own
+
+
+def test_classify_against_brute_force(spark):
+    """Counts, log ratios and scores by plain loops; the fit itself by a slow projected subgradient on the dual."""
+    frame, labels, texts, truth = labelled(spark, 120)
+    p = nbsvm.Params(epochs=400, mix=1.0)
+    rows = [brute_features(t) for t in texts]
+    margins = []
+    for column in (1, 2):
+        y = np.array([1.0 if t[column] else -1.0 for t in truth])
+        used = sorted(set().union(*rows))
+        at = {f: k for k, f in enumerate(used)}
+        x = np.zeros((len(rows), len(used)))
+        for k, own in enumerate(rows):
+            x[k, [at[f] for f in own]] = 1.0
+        a, b = x[y > 0].sum(axis=0) + 1, x[y < 0].sum(axis=0) + 1
+        r = np.log(a / ((y > 0).sum() + 2)) - np.log(b / ((y < 0).sum() + 2))
+        r[np.abs(r) < p.least_z * np.sqrt(1 / a + 1 / b)] = 0.0
+        z = np.hstack([x * r, np.ones((len(rows), 1))]) * y[:, None]
+        gram, alpha = z @ z.T, np.zeros(len(rows))
+        for _ in range(30_000):
+            alpha = np.clip(alpha - (gram @ alpha - 1.0) / np.linalg.norm(gram, 2), 0, p.c)
+        margins.append(np.hstack([x * r, np.ones((len(rows), 1))]) @ (z.T @ alpha))
+    quality, toxic = margins
+    got = {r.doc_id: (r.quality_margin, r.toxicity_margin) for r in nbsvm.classify(frame, labels, p).collect()}
+    clear = [k for k in range(120) if abs(quality[k]) > 0.02 and abs(toxic[k]) > 0.02]
+    assert len(clear) > 100
+    assert {k for k in clear if k in got} == {k for k in clear if quality[k] >= 0 and toxic[k] < 0}
+    assert all(abs(got[k][0] - quality[k]) < 0.02 and abs(got[k][1] - toxic[k]) < 0.02 for k in got)
