@@ -82,7 +82,7 @@ def _signatures(width: int, r: int, m: int):
     return run
 
 
-def _emit(m: int, cells: int, hold: int = 2_000_000):
+def _emit(m: int, cells: int, hold: int = 1_000_000):
     """mapInArrow: (node, keys) to (cell, payload), payload being the (table key, node) pairs of one cell; texts that are alike in one task count once."""
 
     def pack(nodes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +264,7 @@ def near_duplicates(
     own = own.where("id is not null and text is not null")
     signed = save(own.mapInArrow(_signatures(width, r, m), "id long, file string, row long, node long, twin long, size long, keys binary"), "signatures")
     buckets = shuffle_partitions(spark)
-    cells = max(buckets, -(-signed.count() * m * m // 2_000_000))
+    cells = max(buckets, -(-signed.count() * m * m // 1_000_000))
     met = signed.select("node", "keys").mapInArrow(_emit(m, cells), "cell int, payload binary").repartitionById(buckets, F.pmod("cell", F.lit(buckets)).cast("int")).sortWithinPartitions("cell")
     groups = save(connected_components(met.mapInArrow(_meet, "u long, v long")), "candidates")
 
