@@ -42,9 +42,9 @@ def entries(df: DataFrame, index: Index, body: str | None = None) -> DataFrame:
 
 
 def conflicts(df: DataFrame, index: Index, path: str = "_path") -> DataFrame:
-    """(key, records, paths): keys that more than one record has."""
+    """(key, records, paths): keys that more than one record has, with the first and the last of their paths."""
     found = entries(df, index).groupBy(F.col("_key").alias("key"))
-    return found.agg(F.count("*").alias("records"), F.sort_array(F.collect_list(path)).alias("paths")).where("records > 1")
+    return found.agg(F.count("*").alias("records"), F.array(F.min(path), F.max(path)).alias("paths")).where("records > 1")
 
 
 def check_unique(df: DataFrame, index: Index, path: str = "_path") -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import mimetypes
 import re
 import unicodedata
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -139,8 +138,20 @@ def changed_by_normalize(df: DataFrame, rules: Mapping[str, Any]) -> DataFrame:
     return after.withColumn("_blob", F.sha2(canonical_json(after, ("_path", "_sheet", "_blob", "__before")), 256)).where("_blob <> __before").drop("__before")
 
 
+#: Subtypes by extension, for each kind of content; where both are the same, the extension alone.
+_MIME = {
+    "text": "txt:plain md:markdown csv tsv:tab-separated-values html htm:html css",
+    "image": "jpg:jpeg jpeg png gif webp avif bmp ico:vnd.microsoft.icon tiff svg:svg+xml",
+    "audio": "mp3:mpeg wav ogg m4a:mp4 flac",
+    "video": "mp4 webm mov:quicktime",
+    "application": "toml json yaml yml:yaml xml js:javascript ts:typescript pdf zip gz:gzip tar:x-tar 7z:x-7z-compressed",
+}
+_MIME_TYPES = {x.split(":")[0]: f"{kind}/{x.split(':')[-1]}" for kind, all_of in _MIME.items() for x in all_of.split()}
+
+
 def mime_type(name: str) -> str:
-    return mimetypes.guess_type(name)[0] or "application/octet-stream"
+    """Type of a file by its extension, the same on every host."""
+    return _MIME_TYPES.get(name.rpartition(".")[2].lower() if "." in name else "", "application/octet-stream")
 
 
 def join_path(*parts: str) -> str:

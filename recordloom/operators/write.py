@@ -36,35 +36,36 @@ def prepare(batch: DataFrame, template: Template, schema: Mapping | None = None,
 
     previous names a column that is no field of the records.
 
-    Of several rows of one path, all are kept; upsert_plan() takes the last.
+    Of several rows of one path, all are kept, with their place in the batch in
+    _order; upsert_plan() takes the last.
     """
     code = template.render_issues(batch)
     path_issue = F.when(code.isNotNull(), F.struct(F.lit("").alias("path"), F.lit("#").alias("schema_path"), code.alias("code"), F.lit("the record has no legal path").alias("message")))
     own = (*_META, *([previous] if previous else []))
     found = issues_column(batch, schema, own) if schema else F.array().cast(f"array<{ISSUE}>")
     issues = F.concat(F.array_compact(F.array(path_issue)).cast(f"array<{ISSUE}>"), found)
-    marked = batch.withColumn("__issues", issues).withColumn("__to", template.render(batch))
+    marked = batch.withColumn("_order", F.monotonically_increasing_id()).withColumn("__issues", issues).withColumn("__to", template.render(batch))
     out = marked
     for field, rule in (rules or {}).items():
         if field in out.columns:
             out = out.withColumn(field, sorted_list(out, field, rule))
-    blob = F.sha2(canonical_json(out, (*own, "__issues", "__to")), 256)
+    blob = F.sha2(canonical_json(out, (*own, "_order", "__issues", "__to")), 256)
     return out.withColumn("_blob", blob).withColumnRenamed("__to", "_path").withColumnRenamed("__issues", "_issues")
 
 
-def upsert_plan(existing: DataFrame, prepared: DataFrame, order: str | None = None) -> DataFrame:
+def upsert_plan(existing: DataFrame, prepared: DataFrame, order: str = "_order") -> DataFrame:
     """prepared with _category: insert, changed, no-op or invalid.
 
     One left join over paths and hashes.  Of rows with one path the last by
-    `order` counts (without order: by content), the others are superseded.
+    `order` counts (as it is by default: in the batch), the others are superseded.
     """
-    latest = Window.partitionBy("_path").orderBy(F.desc(order) if order else F.desc("_blob"))
+    latest = Window.partitionBy("_path").orderBy(F.desc(order))
     own = prepared.withColumn("__n", F.when(F.col("_path").isNotNull(), F.row_number().over(latest)).otherwise(1))
     known = with_blob(existing).select("_path", F.col("_blob").alias("__old"))
     category = (
         F.when(F.size("_issues") > 0, "invalid").when(F.col("__n") > 1, "superseded").when(F.col("__old").isNull(), "insert").when(F.col("__old") == F.col("_blob"), "no-op").otherwise("changed")
     )
-    return own.join(known, "_path", "left").withColumn("_category", category).drop("__n", "__old")
+    return own.join(known, "_path", "left").withColumn("_category", category).drop("__n", "__old", "_order")
 
 
 def categories(plan: DataFrame) -> DataFrame:

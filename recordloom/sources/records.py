@@ -75,17 +75,21 @@ def split_toml(table: dict) -> list[dict]:
 
 
 def from_documents(rows: DataFrame, column: str = "document") -> DataFrame:
-    """JSON texts of records as typed columns; one pass over them finds the type of every field."""
-    found = rows.select(F.explode(F.from_json(column, "map<string,string>")).alias("k", "v")).groupBy("k").agg(F.collect_set(_kind("v")).alias("kinds"))
+    """JSON texts of records as typed columns; one pass over them finds the type of every field.
+
+    Types are those of the JSON tokens: digits in quotes are text.  A field that
+    is text in some record is text in all.
+    """
+    found = rows.select(F.explode(F.from_json(column, "map<string,variant>")).alias("k", "v")).groupBy("k").agg(F.collect_set(_kind(F.col("v"))).alias("kinds"))
     schema = T.StructType([T.StructField(r.k, _merge(set(r.kinds))) for r in found.orderBy("k").collect()])
     rest = [c for c in rows.columns if c != column]
     return rows.select(*rest, F.from_json(column, schema).alias("__d")).select(*rest, "__d.*")
 
 
-def _kind(v: str) -> Any:
-    """Kind of the JSON text of a value, as maps of JSON values have it; quoted texts arrive bare, so numbers in quotes count as numbers only if all are."""
-    c = F.col(v)
-    return F.when(c.rlike(r"^-?\d{1,18}$"), "bigint").when(c.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "double").when(c.isin("true", "false"), "boolean").when(c.rlike(r"^\["), "list").otherwise("string")
+def _kind(v: Any) -> Any:
+    """Kind of a JSON value; null for null."""
+    c = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(c == "BIGINT", "bigint").when(c.isin("DECIMAL", "DOUBLE", "FLOAT"), "double").when(c == "BOOLEAN", "boolean").when(c == "ARRAY", "list").when(c != "VOID", "string")
 
 
 def _merge(kinds: set[str]) -> T.DataType:

@@ -45,6 +45,8 @@ _ATTACHMENTS = "_path string, name string, bytes binary, hash string"
 _EMPTY = hashlib.sha1(b"tree 0\0").hexdigest()
 #: Directories of a snapshot, and partitions replaced by one write, beyond which the whole sheet is written.
 MAX_BASES, MAX_TOUCHED = 8, 2000
+#: Age at which a lock counts as left behind.
+LOCK_SECONDS = 600
 
 
 @dataclass(frozen=True)
@@ -134,6 +136,10 @@ class Store:
     def data(self, snapshot: str) -> str:
         return self.files.at("data", snapshot)
 
+    def key(self, name: str) -> str:
+        """What the records of a sheet are filed under: stores of one place with different prefixes share declarations, not records."""
+        return join_path(self.prefix, name)
+
     def read_snapshot(self, snapshot: Snapshot, template: Template) -> DataFrame:
         """Records of a snapshot; replaced partitions are pruned by partition filters."""
         parts = template.partition_names()
@@ -221,13 +227,23 @@ class Store:
 
     @contextlib.contextmanager
     def lock(self) -> Iterator[None]:
-        """The only writer of this store; not to be taken twice."""
-        if not self.files.create(uuid.uuid4().hex, "lock"):
-            raise TransactionError("the store is locked", "lock_held")
+        """The only writer of this store; not to be taken twice.
+
+        A lock is held for the moment of a commit only, so one that is older than
+        LOCK_SECONDS was left by a writer that is gone, and is broken.
+        """
+        own = json.dumps({"owner": uuid.uuid4().hex, "time": time.time()})
+        if not self.files.create(own, "lock"):
+            with contextlib.suppress(ValueError, KeyError, TypeError):
+                if time.time() - float(json.loads(self.files.read("lock") or "null")["time"]) > LOCK_SECONDS:
+                    self.files.delete("lock")
+            if not self.files.create(own, "lock"):
+                raise TransactionError("the store is locked", "lock_held")
         try:
             yield
         finally:
-            self.files.delete("lock")
+            if self.files.read("lock") == own:
+                self.files.delete("lock")
 
     @contextlib.contextmanager
     def transact(self, message: str = "Update records", author: str | None = None, trailers: Mapping[str, str] | Sequence[tuple[str, str]] = (), parent: str | None = None) -> Iterator[Transaction]:
@@ -273,9 +289,35 @@ class Store:
         """Changes of a sheet between two references; no old one means that all is added."""
         after = self.sheet(name, new).records()
         known = old is not None and name in self._configs(old)
-        before = self.sheet(name, old).records() if known else after.limit(0)
+        if not known:
+            return changes(after.limit(0), after, **options)
+        then, now = self.sheet(name, old), self.sheet(name, new)
+        if then.snapshot and now.snapshot and then.config.path.source == now.config.path.source:
+            before, after = self._unshared(Snapshot.of(then.snapshot), Snapshot.of(now.snapshot), now.config.path)
+        else:
+            before = then.records()
         return changes(before, after, **options)
 
+    def _unshared(self, old: Snapshot, new: Snapshot, template: Template) -> tuple[DataFrame, DataFrame]:
+        """Records of two snapshots but for those that they share: of a directory that both have, only partitions that one of them replaces."""
+        parts = template.partition_names()
+        theirs, ours = dict(old.bases), dict(new.bases)
+        sides = []
+        for own, other in ((theirs, ours), (ours, theirs)):
+            out: DataFrame | None = None
+            for base, without in own.items():
+                more = set(other.get(base, ())) - set(without)
+                df = self.spark.read.parquet(self.data(base))
+                at = F.concat_ws("/", *parts)
+                if base in other:
+                    df = df.where(at.isin(list(more))) if more and parts else df.where(F.lit(False))
+                elif without:
+                    df = df.where(~at.isin(list(without)))
+                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+            assert out is not None
+            sides.append(out)
+        return sides[0], sides[1]
+
 
 class Sheet:
     """A sheet at one commit."""
@@ -286,7 +328,7 @@ class Sheet:
 
     @property
     def snapshot(self) -> str | None:
-        return self.commit.sheets.get(self.config.name) if self.commit else None
+        return self.commit.sheets.get(self.store.key(self.config.name)) if self.commit else None
 
     def location(self) -> str:
         """Where the records belong: the store's prefix below the sheet's root."""
@@ -419,7 +461,7 @@ class Sheet:
 
     def attachments(self, path: str | None = None) -> DataFrame:
         """(_path, name, bytes, hash) of all records or of one."""
-        at = self.commit.attachments.get(self.config.name) if self.commit else None
+        at = self.commit.attachments.get(self.store.key(self.config.name)) if self.commit else None
         df = self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store.data(at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
         return df if path is None else df.where(F.col("_path") == path)
 
@@ -497,7 +539,7 @@ class Transaction:
 
     def touched(self, name: str, keys: DataFrame) -> list[str] | None:
         """Distinct partitions in the single column of keys, or None where the whole sheet has to be written."""
-        now = self.snapshots.get(name)
+        now = self.snapshots.get(self.store.key(name))
         if now is None or not self._config(name).path.partition_names() or len(Snapshot.of(now).bases) >= MAX_BASES:
             return None
         found = [r[0] for r in keys.where(keys[keys.columns[0]].isNotNull()).distinct().limit(MAX_TOUCHED + 1).collect()]
@@ -517,12 +559,12 @@ class Transaction:
         n, mix = _sums(self.store.spark.read.schema("_path string, _blob string").parquet(self.store.data(base)))
         bases: list[tuple[str, tuple[str, ...]]] = []
         if partitions is not None:
-            old = Snapshot.of(self.snapshots[name])
+            old = Snapshot.of(self.snapshots[self.store.key(name)])
             gone_n, gone_mix = _sums(self.records(name, partitions))
             n, mix = old.rows - gone_n + n, old.mix - gone_mix + mix
             bases = [(b, tuple(sorted({*w, *partitions}))) for b, w in old.bases]
         snapshot = Snapshot((*bases, (base, ())), n, mix)
-        self.snapshots[name], self.hashes[name] = snapshot.text(), snapshot.id
+        self.snapshots[self.store.key(name)], self.hashes[self.store.key(name)] = snapshot.text(), snapshot.id
         self.mutated = True
 
     def stage_attachments(self, name: str, rows: DataFrame) -> None:
@@ -532,7 +574,7 @@ class Transaction:
         mixed = self.store.spark.read.parquet(temp).agg(F.sum(F.xxhash64("_path", "name", "hash").cast("decimal(38,0)"))).first()[0]
         own = hashlib.sha1(str(mixed).encode()).hexdigest()[:16]
         self.store.files.rename(temp, f"{temp}-{own}")
-        self.attachments[name], self.attachment_hashes[name] = f"{temp}-{own}".rsplit("/", 1)[-1], own
+        self.attachments[self.store.key(name)], self.attachment_hashes[self.store.key(name)] = f"{temp}-{own}".rsplit("/", 1)[-1], own
         self.mutated = True
 
     def _checked(self, name: str, batch: DataFrame) -> tuple[cfg.SheetConfig, DataFrame, dict | None]:
@@ -624,7 +666,7 @@ class Transaction:
     def rename(self, name: str, old: str, new: str) -> None:
         """Give a record another key; its attachments move with it."""
         self.stage(name, wr.rename(self.records(name), self._config(name).path, old, new))
-        if name in self.attachments:
+        if self.store.key(name) in self.attachments:
             moved = self.store.spark.createDataFrame([(old, new)], "old string, new string")
             self.stage_attachments(name, wr.move_attachments(self._attachments(name), moved))
 
@@ -640,11 +682,11 @@ class Transaction:
         return n
 
     def _attachments(self, name: str) -> DataFrame:
-        at = self.attachments.get(name)
+        at = self.attachments.get(self.store.key(name))
         return self.store.spark.read.schema(_ATTACHMENTS).parquet(self.store.data(at)) if at else self.store.spark.createDataFrame([], _ATTACHMENTS)
 
     def _cascade(self, name: str) -> None:
-        if name in self.attachments:
+        if self.store.key(name) in self.attachments:
             self.stage_attachments(name, self._attachments(name).join(self.records(name).select("_path"), "_path", "left_semi"))
 
     def attach(self, name: str, path: str, files: Mapping[str, bytes]) -> None:
