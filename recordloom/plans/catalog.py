@@ -105,10 +105,10 @@ def filter_mapping_with_predicate(spark: SparkSession, sf_dir: str) -> DataFrame
     return df.where(flt.matching(df, {"s_nationkey": 3, "s_acctbal": lambda c, _: c > 0})).select("s_suppkey")
 
 
-@_query("SELECT s_suppkey FROM supplier WHERE false")
+@_query("SELECT s_suppkey, false AS by_float, s_nationkey = 3 AS by_integer FROM supplier")
 def filter_mapping_is_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "supplier")
-    return df.where(flt.matching(df, {"s_nationkey": 3.0})).select("s_suppkey")
+    return df.select("s_suppkey", flt.matching(df, {"s_nationkey": 3.0}).alias("by_float"), flt.matching(df, {"s_nationkey": 3}).alias("by_integer"))
 
 
 @_query("SELECT vec_id FROM embeddings WHERE [label, 1] = [2, 1]")
@@ -492,9 +492,9 @@ def validate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.issues(df, schema, "event_id").select("event_id", "code")
 
 
-@_query("SELECT n_nationkey, 'if' AS origin, 'minLength' AS code FROM nation WHERE n_regionkey = 1 AND length(n_name) < 8")
+@_query("SELECT n_nationkey, 'if' AS origin, 'minLength' AS code FROM nation WHERE n_regionkey = 1 AND length(n_name) < 12")
 def validate_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = {"if": {"properties": {"n_regionkey": {"const": 1}}}, "then": {"properties": {"n_name": {"minLength": 8}}}}
+    schema = {"if": {"properties": {"n_regionkey": {"const": 1}}}, "then": {"properties": {"n_name": {"minLength": 12}}}}
     return val.issues(_t(spark, sf_dir, "nation"), schema, "n_nationkey").select("n_nationkey", F.lit("if").alias("origin"), "code")
 
 
@@ -551,10 +551,10 @@ def _sort_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("s_nationkey", F.array_join(ordered["s_suppkey"].cast("array<string>"), ",").alias("suppliers"))
 
 
-@_query(None)
+@_query("SELECT p_size, array_to_string(list_sort(list(DISTINCT p_name)), '|') AS names FROM part GROUP BY 1")
 def sort_list_by_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _t(spark, sf_dir, "part").groupBy("p_size").agg(F.sort_array(F.collect_set("p_name")).alias("names"))
-    return lists.select("p_size", N.sorted_list(lists, "names", True).alias("names"))
+    return lists.select("p_size", F.array_join(N.sorted_list(lists, "names", True), "|").alias("names"))
 
 
 @_query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) ELSE CAST(o_totalprice AS VARCHAR) END AS b FROM orders")
@@ -593,8 +593,10 @@ def store_pruned_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from recordloom.plans import store_catalog  # noqa: F401  registers its own
+
     return {k: q.run for k, q in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: q.sql for k, q in _ALL.items() if q.sql is not None}
+    return {k: q.sql for k, q in _ALL.items() if k in queries() and q.sql is not None}

@@ -140,12 +140,18 @@ class Store:
         """What the records of a sheet are filed under: stores of one place with different prefixes share declarations, not records."""
         return join_path(self.prefix, name)
 
+    def read_base(self, base: str) -> DataFrame:
+        """One directory of a snapshot, by the schema that was noted when it was written, so that no file has to be opened for it and none has to be there."""
+        known = self.files.read("data", base, "_schema")
+        reader = self.spark.read
+        return (reader.schema(T.StructType.fromJson(json.loads(known))) if known else reader).parquet(self.data(base))
+
     def read_snapshot(self, snapshot: Snapshot, template: Template) -> DataFrame:
         """Records of a snapshot; replaced partitions are pruned by partition filters."""
         parts = template.partition_names()
         out: DataFrame | None = None
         for base, without in snapshot.bases:
-            df = self.spark.read.parquet(self.data(base))
+            df = self.read_base(base)
             if without:
                 df = df.where(~F.concat_ws("/", *parts).isin(list(without)))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
@@ -307,7 +313,7 @@ class Store:
             out: DataFrame | None = None
             for base, without in own.items():
                 more = set(other.get(base, ())) - set(without)
-                df = self.spark.read.parquet(self.data(base))
+                df = self.read_base(base)
                 at = F.concat_ws("/", *parts)
                 if base in other:
                     df = df.where(at.isin(list(more))) if more and parts else df.where(F.lit(False))
@@ -556,6 +562,7 @@ class Transaction:
             out = out.withColumn(p, c)
         base = f"{name}-{uuid.uuid4().hex}"
         out.hint("rebalance", *parts).sortWithinPartitions(*parts, "_path").write.partitionBy(*parts).parquet(self.store.data(base))
+        self.store.files.replace(out.schema.json(), "data", base, "_schema")
         n, mix = _sums(self.store.spark.read.schema("_path string, _blob string").parquet(self.store.data(base)))
         bases: list[tuple[str, tuple[str, ...]]] = []
         if partitions is not None:
