@@ -54,7 +54,7 @@ def prepare(batch: DataFrame, template: Template, schema: Mapping | None = None,
 
 
 def upsert_plan(existing: DataFrame, prepared: DataFrame, order: str = "_order") -> DataFrame:
-    """prepared with _category: insert, changed, no-op or invalid.
+    """prepared with _category: insert, changed, no-op or invalid; and with _was, the hash of the record that is there.
 
     One left join over paths and hashes.  Of rows with one path the last by
     `order` counts (as it is by default: in the batch), the others are superseded.
@@ -65,7 +65,7 @@ def upsert_plan(existing: DataFrame, prepared: DataFrame, order: str = "_order")
     category = (
         F.when(F.size("_issues") > 0, "invalid").when(F.col("__n") > 1, "superseded").when(F.col("__old").isNull(), "insert").when(F.col("__old") == F.col("_blob"), "no-op").otherwise("changed")
     )
-    return own.join(known, "_path", "left").withColumn("_category", category).drop("__n", "__old", "_order")
+    return own.join(known, "_path", "left").withColumn("_category", category).withColumnRenamed("__old", "_was").drop("__n", "_order")
 
 
 def categories(plan: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def apply_upsert(existing: DataFrame, plan: DataFrame, delete_missing: bool = Fa
     gone = rows.select("_path")
     if previous and previous in rows.columns:
         gone = gone.union(rows.where(F.col(previous).isNotNull()).select(previous)).distinct()
-    new = rows.drop("_category", "_issues", *([previous] if previous else []))
+    new = rows.drop("_category", "_issues", "_was", *([previous] if previous else []))
     if delete_missing:
         return align(with_blob(existing).limit(0), new)
     return align(with_blob(existing).join(gone, "_path", "left_anti"), new)

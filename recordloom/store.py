@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +70,16 @@ class Snapshot:
         return Snapshot(tuple((b, tuple(w)) for b, w in d["bases"]), d["rows"], d["mix"])
 
 
+def _mix(blob: str) -> Column:
+    return F.sum(F.xxhash64("_path", blob).cast("decimal(38,0)"))
+
+
+def _both_sums() -> tuple[Column, Column]:
+    return F.count("*").alias("n"), _mix("_blob").alias("mix")
+
+
 def _sums(df: DataFrame) -> tuple[int, int]:
-    n, mix = df.agg(F.count("*"), F.sum(F.xxhash64("_path", "_blob").cast("decimal(38,0)"))).first()
+    n, mix = df.agg(*_both_sums()).first()
     return n, int(mix or 0)
 
 
@@ -551,8 +559,12 @@ class Transaction:
         found = [r[0] for r in keys.where(keys[keys.columns[0]].isNotNull()).distinct().limit(MAX_TOUCHED + 1).collect()]
         return found if len(found) <= MAX_TOUCHED else None
 
-    def stage(self, name: str, rows: DataFrame, partitions: Sequence[str] | None = None) -> None:
-        """Write a sheet, or with partitions only those, of which rows has all records."""
+    def stage(self, name: str, rows: DataFrame, partitions: Sequence[str] | None = None, change: tuple[int, int] | None = None) -> None:
+        """Write a sheet, or with partitions only those, of which rows has all records.
+
+        change is by how much the number and the sum of hashes differ from those
+        of the sheet as it is, where that is known.
+        """
         self._open()
         config = self._config(name)
         parts = config.path.partition_names()
@@ -561,15 +573,23 @@ class Transaction:
         for p, c in zip(parts, columns, strict=False):
             out = out.withColumn(p, c)
         base = f"{name}-{uuid.uuid4().hex}"
-        out.hint("rebalance", *parts).sortWithinPartitions(*parts, "_path").write.partitionBy(*parts).parquet(self.store.data(base))
+        ordered = out.hint("rebalance", *parts).sortWithinPartitions(*parts, "_path")
+        seen = Observation()
+        if change is None:  # summed up while it is written
+            ordered = ordered.observe(seen, *_both_sums())
+        ordered.write.partitionBy(*parts).parquet(self.store.data(base))
         self.store.files.replace(out.schema.json(), "data", base, "_schema")
-        n, mix = _sums(self.store.spark.read.schema("_path string, _blob string").parquet(self.store.data(base)))
+        n, mix = (0, 0) if change else (seen.get["n"], int(seen.get["mix"] or 0))
         bases: list[tuple[str, tuple[str, ...]]] = []
         if partitions is not None:
             old = Snapshot.of(self.snapshots[self.store.key(name)])
-            gone_n, gone_mix = _sums(self.records(name, partitions))
-            n, mix = old.rows - gone_n + n, old.mix - gone_mix + mix
+            if change is None:
+                gone_n, gone_mix = _sums(self.records(name, partitions))
+                change = n - gone_n, mix - gone_mix
             bases = [(b, tuple(sorted({*w, *partitions}))) for b, w in old.bases]
+        if change is not None:
+            now = Snapshot.of(self.snapshots[self.store.key(name)])
+            n, mix = now.rows + change[0], now.mix + change[1]
         snapshot = Snapshot((*bases, (base, ())), n, mix)
         self.snapshots[self.store.key(name)], self.hashes[self.store.key(name)] = snapshot.text(), snapshot.id
         self.mutated = True
@@ -604,7 +624,11 @@ class Transaction:
         existing = self.records(name, near)
         plan = wr.upsert_plan(existing, prepared).cache()
         try:
-            report = {r.category: r["count"] for r in wr.categories(plan).collect()}
+            # one pass tells the report, the partitions that change, and by how much the sums do
+            groups = plan.groupBy("_category", *([key.alias("_part")] if near is not None else [])).agg(F.count("*").alias("n"), _mix("_blob").alias("mix"), _mix("_was").alias("was")).collect()
+            report: dict[str, int] = {}
+            for r in groups:
+                report[r["_category"]] = report.get(r["_category"], 0) + r["n"]
             if report.get("invalid"):
                 wr.require_valid(plan)
             for index in self.store._indexes.get(name, []):
@@ -613,13 +637,17 @@ class Transaction:
                     raise IndexError_(f"index {index.name!r}: key {bad['key']!r} of {bad['path']!r} belongs to {bad['owner']!r}", "index_unique_conflict")
             gone = wr.missing(existing, plan).count() if delete_missing else 0
             if report.get("insert") or report.get("changed") or gone or previous:
-                written = plan.where("_category in ('insert', 'changed')") if not previous else plan
-                keys = written.select(key)
-                if previous:
-                    keys = keys.union(plan.select(F.substring_index(previous, "/", len(config.path.components) - 1)))
-                parts = None if delete_missing else self.touched(name, keys)
+                parts, change = None, None
+                if near is not None and previous:
+                    parts = self.touched(name, plan.select(key).union(plan.select(F.substring_index(previous, "/", len(config.path.components) - 1))))
+                elif near is not None:
+                    new = [r for r in groups if r["_category"] in ("insert", "changed")]
+                    parts = sorted({r["_part"] for r in new})
+                if not delete_missing and not previous and self.store.key(name) in self.snapshots:
+                    new = [r for r in groups if r["_category"] in ("insert", "changed")]
+                    change = report.get("insert", 0), int(sum((r["mix"] or 0) for r in new) - sum((r["was"] or 0) for r in new if r["_category"] == "changed"))
                 own = plan if parts is None else plan.where(key.isin(parts))
-                self.stage(name, wr.apply_upsert(self.records(name, parts), own, delete_missing, previous), parts)
+                self.stage(name, wr.apply_upsert(self.records(name, parts), own, delete_missing, previous), parts, change)
         finally:
             plan.unpersist()
             prepared.unpersist()

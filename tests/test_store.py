@@ -1,3 +1,4 @@
+import json
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,25 @@ def test_writes_touch_only_their_partitions(spark, tmp_path, monkeypatch):
     with s.transact() as tx:
         tx.stage("people", tx.records("people"))
     assert tx.result is None and whole.rows == len(want)
+
+
+def test_prefixes_and_locks_left_behind(spark, tmp_path):
+    from recordloom import store as module
+
+    a = Store(spark, f"{tmp_path}/p", prefix="a")
+    with a.transact("Declare") as tx:
+        tx.write_config("people", {"path": "${{ id }}"})
+        tx.upsert("people", spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "z")], "id string, name string"))
+    assert {(r.id, r.name) for r in a.sheet("people").records().collect()} == {("1", "y"), ("2", "z")}
+    b = Store(spark, f"{tmp_path}/p", prefix="b")
+    assert b.sheet_names() == ["people"] and b.sheet("people").records().count() == 0
+    b.files.create(json.dumps({"owner": "gone", "time": 0}), "lock")
+    b.sheet("people").upsert(spark.createDataFrame([("9", "q")], "id string, name string"))
+    assert a.sheet("people").records().count() == 2 and not b.files.exists("lock")
+    b.files.create(json.dumps({"owner": "here", "time": 4e9}), "lock")
+    with pytest.raises(module.TransactionError) as e:
+        b.sheet("people").clear()
+    assert e.value.code == "lock_held"
+    b.files.delete("lock")
+    b.sheet("people").clear()
+    assert b.sheet("people").records().count() == 0
