@@ -31,11 +31,20 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that Python gets at once while a table is written: few, since texts may be long.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = place(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = place(spark, name), spark.conf.get(*_BATCH)
+    spark.conf.set(*_BATCH)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH[0], before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
