@@ -38,12 +38,12 @@ _BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path, before = place(spark, name), spark.conf.get(*_BATCH)
+    path, before = place(spark, name), spark.conf.get(_BATCH[0], None)
     spark.conf.set(*_BATCH)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_BATCH[0], before)
+        spark.conf.unset(_BATCH[0]) if before is None else spark.conf.set(_BATCH[0], before)
     return spark.read.schema(df.schema).parquet(path)
 
 
