@@ -137,7 +137,7 @@ def blob_hash(c: Column) -> Column:
 
 def first_h1(body: Column) -> Column:
     """Text of the first level-one ATX heading, trimmed; null without one."""
-    found = F.regexp_extract(body, r"(?md)^# ([^\n\r]+?)[\t ]*\r?$", 1)
+    found = F.regexp_extract(body, r"(?md)^# ([^\n\r]*[^\n\r\t ]|[\t ])[\t ]*+\r?$", 1)
     return F.when(found != "", found)
 
 
