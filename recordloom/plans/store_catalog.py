@@ -18,7 +18,7 @@ from recordloom.operators import index as I
 from recordloom.operators import normalize as N
 from recordloom.operators import write as W
 from recordloom.plans import contracts, template
-from recordloom.plans.catalog import _query, _scratch, _t
+from recordloom.plans.catalog import _query, _scratch, _spread, _t
 from recordloom.sources import records as R
 from recordloom.sources import toml
 from recordloom.store import Store
@@ -51,7 +51,7 @@ def _code(act: Any) -> str:
 @_query("SELECT p_partkey AS n, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, '1e5' AS text, 'true' AS flag, p_retailprice AS price FROM part")
 def digits_stay_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records through TOML and JSON, whose quoted digits, exponents and booleans stay text."""
-    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.lit("1e5").alias("text"), F.lit("true").alias("flag"), F.col("p_retailprice").alias("price"))
+    part = _spread(_t(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("n"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.lit("1e5").alias("text"), F.lit("true").alias("flag"), F.col("p_retailprice").alias("price"))
     return R.from_documents(part.select(toml.parse_column(toml.serialize_column(N.canonical_json(part))).alias("document"))).select("n", "id", "text", "flag", "price")
 
 

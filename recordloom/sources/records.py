@@ -6,9 +6,11 @@ import csv
 import io
 import json
 import os
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,12 +82,66 @@ def from_documents(rows: DataFrame, column: str = "document") -> DataFrame:
     Types are those of the JSON tokens: digits in quotes are text.  A field that
     is text in some record is text in all.
     """
-    found = rows.select(F.explode(F.from_json(column, "map<string,variant>")).alias("k", "v")).groupBy("k").agg(F.collect_set(_kind(F.col("v"))).alias("kinds"))
+    scanned = rows.select(column).mapInArrow(_scan, "k string, kind string, rest string")
+    own = F.when(F.col("rest").isNull(), F.array(F.struct("k", "kind")))
+    read = F.transform(F.map_entries(F.from_json("rest", "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), _kind(e["value"]).alias("kind")))
+    found = scanned.select(F.inline(F.coalesce(own, read))).groupBy("k").agg(F.collect_set("kind").alias("kinds"))
     schema = T.StructType([T.StructField(r.k, _merge(set(r.kinds))) for r in found.orderBy("k").collect()])
     rest = [c for c in rows.columns if c != column]
     return rows.select(*rest, F.from_json(column, schema).alias("__d")).select(*rest, "__d.*")
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, kind) once for each of a task; texts that Python doesn't read as Spark may do as they are."""
+    seen: set[tuple[str, str | None]] = set()
+    for batch in batches:
+        out: list[tuple[str | None, str | None, str | None]] = []
+        for text in batch.column(0).to_pylist():
+            if text is None:
+                continue
+            try:
+                fields = _fields(text)
+            except (ValueError, RecursionError):
+                out.append((None, None, text))
+                continue
+            new = fields - seen
+            seen |= new
+            out += [(k, kind, None) for k, kind in new]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ((), (), ()))], ["k", "kind", "rest"])
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(text)
+
+
+#: Objects become tuples of pairs, so that repeated names show.
+_decode = json.JSONDecoder(object_pairs_hook=tuple, parse_constant=_no_number).decode
+#: A number that may be too long for Spark.
+_LONG = re.compile(r"[0-9.eE+-]{900}")
+
+
+def _fields(text: str) -> set[tuple[str, str | None]]:
+    """Names and kinds of the fields of a JSON object."""
+    if len(text) > 900 and (text.count("[") + text.count("{") > 900 or _LONG.search(text)):
+        raise ValueError("Spark's own limits tell")
+    pairs = _decode(text)
+    if type(pairs) is not tuple:
+        raise ValueError("no object")
+    out = set()
+    for k, v in pairs:
+        kind = _KINDS[type(v)]
+        if kind == "bigint" and not -(2**63) <= v < 2**63:
+            kind = "double"
+        if kind == "double" and not abs(v) < 1e38:
+            raise ValueError("Spark's own reading tells")
+        k.encode()
+        out.add((k, kind))
+    return out
+
+
+_KINDS = {str: "string", int: "bigint", float: "double", bool: "boolean", list: "list", tuple: "string", type(None): None}
+
+
 def _kind(v: Any) -> Any:
     """Kind of a JSON value; null for null."""
     c = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
