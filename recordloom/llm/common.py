@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -47,6 +48,25 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The step of mapInArrow, giving memory back to the system at the end of every task.
+
+    Python workers wait for other tasks, and free memory that Arrow and the C
+    library hold back counts against the executor meanwhile.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that is no longer needed."""
     jvm = spark.sparkContext._jvm
@@ -116,7 +136,7 @@ def sieve(keys: DataFrame) -> Callable[[Column], Column]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = jvm.java.io.ByteArrayOutputStream()
     made.writeTo(out)
-    held = spark.createDataFrame([(bytearray(out.toByteArray()),)], "sieve binary")
+    held = spark.createDataFrame(pa.table({"sieve": pa.array([bytes(out.toByteArray())], pa.binary())}))  # rows of Python objects would start workers of another kind
     expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils
 
     def test(column: Column) -> Column:
@@ -174,12 +194,14 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(n[keep]), pa.array(r[keep])], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000) -> DataFrame:
+def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000, stars: bool = False) -> DataFrame:
     """Components of an undirected graph: (node, component), component being its smallest node.
 
     edges has two BIGINT columns; loops and repeats are allowed, rows with a null
     are ignored, and only nodes that have an edge to another node are returned.
-    Partitions first shrink their own edges to stars.  What is left is finished
+    Partitions first shrink their own edges to stars, unless they are that
+    already (stars): edges that come from a Python step would need a second
+    Python worker in the same task.  What is left is finished
     in one task where it has at most single_task_edges rows (measured, not
     guessed); beyond that, alternating large-star and small-star rounds run as
     joins, each round written to the shared folder in place of the one before,
@@ -188,7 +210,7 @@ def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000) -
     spark = edges.sparkSession
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    pairs = save(pairs.mapInArrow(contract, "u long, v long"), "edges")
+    pairs = save(pairs if stars else pairs.mapInArrow(tidy(contract), "u long, v long"), "edges")
     before = None
     while True:
         n, digest = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -205,7 +227,7 @@ def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000) -
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        smaller = save(small.mapInArrow(contract, "u long, v long"), "edges")
+        smaller = save(small.mapInArrow(tidy(contract), "u long, v long"), "edges")
         drop(spark, scan_roots(pairs)[0])
         pairs = smaller
 
@@ -215,4 +237,4 @@ def connected_components(edges: DataFrame, single_task_edges: int = 4_000_000) -
             node, root = union_find(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
 
-    return pairs.coalesce(1).mapInArrow(finish, "node long, component long")
+    return pairs.coalesce(1).mapInArrow(tidy(finish), "node long, component long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
-from recordloom.llm.common import as_scan, free_name, save, without
+from recordloom.llm.common import as_scan, free_name, save, tidy, without
 
 _BITS = 14
 _D = 1 << _BITS
@@ -211,7 +211,7 @@ def latent_vectors(spark: SparkSession, hashed: DataFrame, p: Params) -> np.ndar
     idf = np.where(df > 0, np.log(1.0 + n / np.maximum(df, 1)), 0.0)
     q, _ = np.linalg.qr((sketch * idf).T)
     held = spark.sparkContext.broadcast((q * idf[:, None]).astype(np.float32))
-    gram = tree_sum(hashed.where("part is null").mapInArrow(_gram(held), "part int, payload binary"), "float64", "float64")[0].reshape(width, width)
+    gram = tree_sum(hashed.where("part is null").mapInArrow(tidy(_gram(held)), "part int, payload binary"), "float64", "float64")[0].reshape(width, width)
     value, vector = np.linalg.eigh(gram / n)
     top = np.argsort(-value)[: p.rank]
     top = top[value[top] > 1e-9 * value[top[0]]]
@@ -467,24 +467,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
     p, spark = params, docs.sparkSession
     kind = "doc_id long, item_id long, cosine double, lcs double, answer boolean"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    hashed = save(own.mapInArrow(_hash_and_sketch(p.rank + p.oversample), "doc_id long, part int, payload binary"), "words")
+    hashed = save(own.mapInArrow(tidy(_hash_and_sketch(p.rank + p.oversample)), "doc_id long, part int, payload binary"), "words")
     vectors = latent_vectors(spark, hashed, p)
     answer = F.col(answer_col).cast("string") if answer_col in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"), answer.alias("answer")).where("item_id is not null and text is not null")
-    out = spark.createDataFrame([], kind)
     if vectors is None:
-        return out
+        return spark.createDataFrame([], kind)
     held = spark.sparkContext.broadcast(vectors.astype(np.float32))
     words = hashed.where("part is null")
-    parts = 0
+    out = None
     for rows in _passes(items.toLocalIterator(), p.words_per_pass):
         groups = prepare_items(rows, vectors, p)
         if groups:
-            found = words.mapInArrow(_search(spark.sparkContext.broadcast(groups), held, p), kind)
-            parts += 1
+            found = words.mapInArrow(tidy(_search(spark.sparkContext.broadcast(groups), held, p)), kind)
             # what a benchmark of many passes finds is written pass by pass, so that the driver holds one pass
-            out = out.unionByName(found if parts == 1 else save(found, "found"))
-    return out
+            out = found if out is None else out.unionByName(save(found, "found"))
+    return spark.createDataFrame([], kind) if out is None else out
 
 
 def _passes(items: Iterable, most: int) -> Iterator[list[tuple[int, str, str | None]]]:

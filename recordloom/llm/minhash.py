@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
-from recordloom.llm.common import as_scan, connected_components, free_name, save, shuffle_partitions, sieve, union_find, without
+from recordloom.llm.common import as_scan, connected_components, contract, free_name, save, shuffle_partitions, sieve, tidy, union_find, without
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
@@ -262,11 +262,12 @@ def near_duplicates(
     docs = as_scan(docs)
     own = docs.select(docs[id_col].cast("long").alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), docs[text_col].alias("text"))
     own = own.where("id is not null and text is not null")
-    signed = save(own.mapInArrow(_signatures(width, r, m), "id long, file string, row long, node long, twin long, size long, keys binary"), "signatures")
+    signed = save(own.mapInArrow(tidy(_signatures(width, r, m)), "id long, file string, row long, node long, twin long, size long, keys binary"), "signatures")
     buckets = shuffle_partitions(spark)
     cells = max(buckets, -(-signed.count() * m * m // 1_000_000))
-    met = signed.select("node", "keys").mapInArrow(_emit(m, cells), "cell int, payload binary").repartitionById(buckets, F.pmod("cell", F.lit(buckets)).cast("int")).sortWithinPartitions("cell")
-    groups = save(connected_components(met.mapInArrow(_meet, "u long, v long")), "candidates")
+    met = signed.select("node", "keys").mapInArrow(tidy(_emit(m, cells)), "cell int, payload binary").repartitionById(buckets, F.pmod("cell", F.lit(buckets)).cast("int")).sortWithinPartitions("cell")
+    met = met.mapInArrow(tidy(lambda batches: contract(_meet(batches))), "u long, v long")  # one worker a task for both
+    groups = save(connected_components(met, stars=True), "candidates")
 
     first = F.min(F.struct("id", "file", "row")).alias("first")
     nodes = save(signed.groupBy("node").agg(first, F.min("twin").alias("twin"), F.max("size").alias("size"), F.count("*").alias("n")), "nodes")
@@ -276,15 +277,15 @@ def near_duplicates(
     placed = save(placed, "placed")
     may = sieve(placed.select(F.xxhash64("file", "row").alias("key")))
     texts = own.select("file", "row", "text").where(may(F.xxhash64("file", "row"))).hint("merge").join(placed, ["file", "row"]).select("node", "part", "block", "text")
-    sets = texts.mapInArrow(_sets(width), "node long, part long, block int, shingles binary")
+    sets = texts.mapInArrow(tidy(_sets(width)), "node long, part long, block int, shingles binary")
     several = placed.where("blocks > 1").head(1)
     if several:
         sets = save(sets, "sets")
     edges = sets.groupBy("part", "block").applyInArrow(_verify(threshold), "u long, v long")
     if several:
         edges = save(edges, "similar")
-        edges = edges.unionByName(_cross_blocks(sets, placed, edges, block_docs, threshold))
-    final = connected_components(edges)
+        edges = edges.unionByName(save(_cross_blocks(sets, placed, edges, block_docs, threshold), "across"))
+    final = connected_components(edges, stars=not several)  # a part of one block is a group of its own, so its edges are stars
 
     grouped = nodes.join(final, "node", "left").select("node", "twin", "first", "n", F.coalesce("component", "node").alias("part"))
     kept = grouped.groupBy("part").agg(F.min("first").alias("kept"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")

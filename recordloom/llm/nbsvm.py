@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from recordloom.llm import text as T
-from recordloom.llm.common import free_name, save, sieve
+from recordloom.llm.common import free_name, save, sieve, tidy
 
 #: Buckets of hashed features; the lower half are words, the upper half all others.
 BUCKETS = 1 << 18
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     own = own.join(sample, "id", "left").fillna({"sampled": False})
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     may = sieve(save(own.select(F.xxhash64("id").alias("key")).distinct(), "labelled"))
-    found = save(texts.where(may(F.xxhash64("id"))).hint("merge").join(own, "id").select("text", "quality", "toxic", "sampled").mapInArrow(_count, "chunk int, quality int, toxic int, payload binary"), "nbsvm")
+    found = save(texts.where(may(F.xxhash64("id"))).hint("merge").join(own, "id").select("text", "quality", "toxic", "sampled").mapInArrow(tidy(_count), "chunk int, quality int, toxic int, payload binary"), "nbsvm")
     sums = {x.chunk: np.frombuffer(bytes(x.payload), dtype=np.int64) for x in found.where("chunk > -2").select("chunk", "payload").groupBy("chunk").applyInArrow(_total, "chunk int, payload binary").collect()}
     if not sums:
         return Model(None, None)
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
             w, bias = fit([rows[i] for i in use], np.where(label[use] == 1, 1.0, -1.0), r.astype(np.float64), params)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["head", "w", "bias"])
 
-    heads = {x.head: (np.frombuffer(bytes(x.w), dtype=np.float32), x.bias) for x in found.where("chunk = -2").coalesce(1).mapInArrow(solve, "head int, w binary, bias double").collect()}
+    heads = {x.head: (np.frombuffer(bytes(x.w), dtype=np.float32), x.bias) for x in found.where("chunk = -2").coalesce(1).mapInArrow(tidy(solve), "head int, w binary, bias double").collect()}
     return Model(heads.get(0), heads.get(1))
 
 
@@ -244,6 +244,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFr
 
     @F.arrow_udf(kind)
     def margins(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(scored)(texts)
+
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             q, t, some = held.value.margins(T.as_large(column))
             yield pa.StructArray.from_arrays([pa.array(q, mask=~some), pa.array(t, mask=~some), pa.array(some & (q >= 0) & (t < 0))], names=["quality", "toxicity", "keep"])

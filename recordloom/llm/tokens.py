@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import text as T
-from recordloom.llm.common import place
+from recordloom.llm.common import place, tidy
 
 #: Rank file of a byte-level BPE; a parameter of every operator that tokenises.
 VOCABULARY = os.environ.get("RECORDLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *batch.columns[2:]], names=["doc_id", "n_tokens", *batch.schema.names[2:]])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([] if salt is None else [salt.cast("long").alias("salt")]))
-    return own.mapInArrow(run, "doc_id long, n_tokens long" + ("" if salt is None else ", salt long"))
+    return own.mapInArrow(tidy(run), "doc_id long, n_tokens long" + ("" if salt is None else ", salt long"))
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

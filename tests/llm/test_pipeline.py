@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from recordloom.llm import queries
+from recordloom.llm import common, decontam, minhash, nbsvm, packing, queries, streamdedup
 from tests.llm.helpers import empty, hard, prose
 from tests.llm.test_dedup import brute_groups
 
@@ -82,6 +83,46 @@ def test_each_stage_on_its_own_input(spark, tables):
         assert {r.doc_id for r in out.collect()} == {i for i, k in enumerate(kinds) if k not in kind}, name
 
 
+def _nodes(plan):
+    """(name, Python steps of the task so far) of every node of a physical plan, from the last one up."""
+    todo = [(plan, 0)]
+    while todo:
+        node, steps = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append((node.initialPlan(), steps))
+            continue
+        steps = 0 if name.endswith("Exchange") else steps + (name.endswith(("InArrow", "EvalPython")))
+        yield name, steps
+        todo += [(node.children().apply(k), steps) for k in range(node.children().size())]
+
+
+def test_no_task_needs_two_python_workers(spark, tables, monkeypatch):
+    """A second worker stays on its executor through the later stages; so do workers that rows of Python objects start."""
+    plans = []
+
+    def noted(df, *rest, kept=common.save):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return kept(df, *rest)
+
+    for module in (common, decontam, minhash, nbsvm, packing, streamdedup):
+        monkeypatch.setattr(module, "save", noted)
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        plans.append(stage(spark, docs, tables[0])._jdf.queryExecution().executedPlan())
+    minhash.near_duplicates(docs, block_docs=10)
+    nodes = [x for plan in plans for x in _nodes(plan)]
+    assert max(steps for _, steps in nodes) == 1
+    assert not [name for name, _ in nodes if "ExistingRDD" in name]
+
+
+def test_tidy_changes_no_batch():
+    batches = [pa.RecordBatch.from_pydict({"a": [k]}) for k in range(3)]
+    step = common.tidy(iter)
+    assert list(step(iter(batches))) == batches
+    assert next(step(iter(batches))) == batches[0]
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
